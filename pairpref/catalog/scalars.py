@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 
 from pairpref.catalog import query
-from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, canonical, cleaned
+from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, canonical
 from pairpref.fixtures import PROVENANCE, battles_raw, table
 from pairpref.functions.conversation import parse_conversation, texts_of
 from pairpref.functions.identity import canonical_json, row_json
@@ -241,7 +241,7 @@ def canonical_battles(spark, sf):
 select source_row_index, winner, model_a, model_b, "language", strftime(tstamp, '%Y-%m-%d %H:%M:%S') tstamp,
   battle_month, prompt_len, len_diff, abs_len_diff from cleaned""")
 def cleaned_battles(spark, sf):
-    return cleaned(spark, sf).select(
+    return clean_arena(battles_raw(spark, sf), PROVENANCE).select(
         "source_row_index", "winner", "model_a", "model_b", "language",
         F.date_format("tstamp", "yyyy-MM-dd HH:mm:ss").alias("tstamp"), "battle_month",
         *[F.col(n).cast("bigint").alias(n) for n in ("prompt_len", "len_diff", "abs_len_diff")],

@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pairpref.fixtures import PROVENANCE, battles_raw
-from pairpref.operators.canonical import canonicalize, clean_arena
+from pairpref.operators.canonical import canonicalize, legacy_columns
 from pairpref.operators.population import BASE_RESEARCH, Population, PopulationSpec, apply_population
 from pairpref.operators.topics import OTHER_TOPIC, RULES, add_rule_topics
 from pairpref.schema import OUTCOME_SPELLINGS
+from pairpref.session import stored
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonicalize(battles_raw(spark, sf_dir), PROVENANCE)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries of one application read, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = stored(build())
+    return _STORED[key]
+
+
+def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical battles as stored for analysis: all columns but the raw conversations."""
+    return once(
+        spark, sf_dir, "canonical", lambda: canonical(spark, sf_dir).drop("conversation_a", "conversation_b")
+    )
+
+
 def population(spark: SparkSession, sf_dir: str, spec: PopulationSpec = BASE_RESEARCH) -> Population:
-    return apply_population(canonical(spark, sf_dir), spec)
+    return apply_population(canonical_table(spark, sf_dir), spec)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_rule_topics(clean_arena(battles_raw(spark, sf_dir), PROVENANCE))
+    return add_rule_topics(legacy_columns(canonical_table(spark, sf_dir)))
 
 
 RAW = """

@@ -186,7 +186,10 @@ def canonicalize(raw: DataFrame, provenance: Provenance, *, check_index: bool =
 
 def clean_arena(raw: DataFrame, provenance: Provenance | None = None) -> DataFrame:
     """Canonical battles under the column names of the descriptive reports (no row is filtered)."""
-    canonical = canonicalize(raw, provenance or Provenance("legacy_in_memory_dataframe"))
+    return legacy_columns(canonicalize(raw, provenance or Provenance("legacy_in_memory_dataframe")))
+
+
+def legacy_columns(canonical: DataFrame) -> DataFrame:
     legacy = {
         "winner": "canonical_outcome",
         "model_a": "model_a_id",
