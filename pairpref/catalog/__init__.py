@@ -13,7 +13,7 @@ from pairpref.session import prepare
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 EQUIVALENT_SQL: dict[str, str] = {}
-MODULES = ("scalars", "populations", "descriptive", "estimation")
+MODULES = ("scalars", "populations", "descriptive", "estimation", "uncertainty", "evidence", "storage")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

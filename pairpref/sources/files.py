@@ -26,8 +26,7 @@ def inventory(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFram
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     )
-    root = F.regexp_replace(F.lit(path), "/+$", "")
-    relative = F.substring_index(F.col("path"), F.concat(root, F.lit("/")), -1)
+    relative = F.split_part("path", F.lit(path.rstrip("/") + "/"), F.lit(-1))
     return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
