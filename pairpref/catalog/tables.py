@@ -15,7 +15,7 @@ from pairpref.session import stored
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonicalize(battles_raw(spark, sf_dir), PROVENANCE)
+    return canonicalize(raw_table(spark, sf_dir), PROVENANCE)
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -29,11 +29,18 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     return _STORED[key]
 
 
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw battles as the Parquet snapshot they would arrive as."""
+    return once(spark, sf_dir, "raw", lambda: battles_raw(spark, sf_dir))
+
+
 def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical battles as stored for analysis: all columns but the raw conversations."""
-    return once(
-        spark, sf_dir, "canonical", lambda: canonical(spark, sf_dir).drop("conversation_a", "conversation_b")
-    )
+
+    def build() -> DataFrame:
+        return canonicalize(raw_table(spark, sf_dir), PROVENANCE).drop("conversation_a", "conversation_b")
+
+    return once(spark, sf_dir, "canonical", build)
 
 
 def population(spark: SparkSession, sf_dir: str, spec: PopulationSpec = BASE_RESEARCH) -> Population:

@@ -100,7 +100,7 @@ def canonicalize(raw: DataFrame, provenance: Provenance, *, check_index: bool =
     if check_index:
         require_row_index(raw)
     key = duplicate_key(raw)
-    df = with_group_size(raw, key, "__copies", F.col("source_row_index"))
+    df = with_group_size(raw, key, "__copies", F.col("source_row_index"), at_least=2)
     df = with_optional_columns(df)
     types = {f.name: f.dataType for f in df.schema}
     no_time, stamp = read_time(F.col("tstamp"), types["tstamp"])
@@ -177,7 +177,7 @@ def canonicalize(raw: DataFrame, provenance: Provenance, *, check_index: bool =
         {
             "response_char_diff": difference,
             "response_abs_char_diff": F.abs(difference),
-            "exact_duplicate": F.col("__copies") > 1,
+            "exact_duplicate": F.col("__copies").isNotNull(),
             "source_record_valid": _all(VALIDITY_FLAGS),
         }
     )

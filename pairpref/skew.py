@@ -15,18 +15,22 @@ HEAVY_SHARE = 1024
 SPREAD = 4096
 
 
-def with_group_size(df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column) -> DataFrame:
-    """Add the number of rows that share ``fingerprint`` (a SHA-256 text; rows without one get null).
+def with_group_size(
+    df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column, *, at_least: int
+) -> DataFrame:
+    """Add the number of rows that share ``fingerprint`` (a SHA-256 text), null below ``at_least`` rows.
 
-    ``spread_by`` is a column that differs between rows of a hot key. Both joined sides are unique on the key,
-    so Spark drops the whole computation when the size is not used downstream.
+    Leaving out small groups keeps the joined side as small as the answer allows; where that fits a broadcast,
+    Spark sees so at run time and the rows are not shuffled at all. ``spread_by`` is a column that differs
+    between rows of a hot key. Both joined sides are unique on the key, so Spark drops the whole computation
+    when the size is not used downstream.
     """
     rows = df.withColumn("__fp", fingerprint)
     sizes = rows.where(F.col("__fp").isNotNull()).groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.sum("__n").alias("__total")).scalar()
-    heavy = F.col("__n") * HEAVY_SHARE > total
-    hot = sizes.where(heavy).select("__fp", F.col("__n").alias("__hot"))
-    cold = sizes.where(~heavy).select(F.col("__fp").alias("__key"), F.col("__n").alias("__cold"))
+    heavy, wanted = F.col("__n") * HEAVY_SHARE > total, F.col("__n") >= at_least
+    hot = sizes.where(heavy & wanted).select("__fp", F.col("__n").alias("__hot"))
+    cold = sizes.where(~heavy & wanted).select(F.col("__fp").alias("__key"), F.col("__n").alias("__cold"))
     joined = rows.join(F.broadcast(hot), "__fp", "left")
     spread = F.concat(F.lit("hot-"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
     key = F.when(F.col("__hot").isNull() & F.col("__fp").isNotNull(), F.col("__fp")).otherwise(spread)
