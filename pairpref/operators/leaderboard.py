@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairpref.functions.text import present
 from pairpref.schema import A_WIN, B_WIN, OUTCOMES, TIE
 
 
@@ -20,8 +21,7 @@ def model_statistics(battles: DataFrame) -> DataFrame:
     """
     outcome_name = "canonical_outcome" if "canonical_outcome" in battles.columns else "winner"
     outcome = F.col(outcome_name)
-    named = F.trim(F.coalesce("model_a", F.lit(""))) != ""
-    named = named & (F.trim(F.coalesce("model_b", F.lit(""))) != "")
+    named = present(F.col("model_a")) & present(F.col("model_b"))
     side = lambda model, win, loss: F.struct(
         F.col(model).alias("model_name"),
         (outcome == win).cast("int").alias("win"),

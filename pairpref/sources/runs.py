@@ -211,7 +211,10 @@ def verify_run(spark: SparkSession, path: str) -> DataFrame:
     declared = spark.read.parquet(f"{path}/inventory")
     actual = inventory(spark, path, pattern="*.parquet").where(~F.col("path").startswith("inventory/"))
     report = compare_inventories(declared, actual)
-    wrong = report.where(F.col("status") != "ok").take(1)
+    try:
+        wrong = report.where(F.col("status") != "ok").take(1)
+    except Py4JJavaError as error:  # the file system's own checksums may refuse an altered file first
+        raise RunError("ARTIFACT_CONSISTENCY_ERROR", "a file can not be read back") from error
     if wrong:
         raise RunError("ARTIFACT_CONSISTENCY_ERROR", f"{wrong[0]['path']} is {wrong[0]['status']}")
     return report

@@ -24,11 +24,10 @@ TABLES = (
 
 
 def normal(value):
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
-        return int(value)
+    """Values with their kind, so that 4 and 4.0 differ as they would in a hash of printed values."""
     if isinstance(value, float) and math.isnan(value):
         return None
-    return value
+    return (type(value).__name__, value)
 
 
 def rows_of(columns, rows):
