@@ -70,7 +70,7 @@ def eligible(spark, sf):
     return rows.select("source_row_index", "model_a_id", "model_b_id", "canonical_outcome")
 
 
-def _summary_sql(name: str, **options: bool) -> str:
+def summary_sql(name: str, **options: bool) -> str:
     return f"""{population_sql(**options)}
 select '{name}' population_id, 2 population_spec_version, count(*) input_rows,
   count(*) filter (len(reasons) = 0) eligible_rows, count(*) filter (len(reasons) > 0) excluded_rows,
@@ -82,22 +82,22 @@ def _summary(spark, sf, spec):
     return summary.withColumn("eligibility_rate", F.round("eligibility_rate", 6))
 
 
-@query("p04_base_research", _summary_sql("base_research"))
+@query("p04_base_research", summary_sql("base_research"))
 def base_research(spark, sf):
     return _summary(spark, sf, BASE_RESEARCH)
 
 
-@query("p04_legacy_score", _summary_sql("legacy_score", legacy=True))
+@query("p04_legacy_score", summary_sql("legacy_score", legacy=True))
 def legacy_score(spark, sf):
     return _summary(spark, sf, LEGACY_SCORE)
 
 
-@query("p04_judge_cluster_research", _summary_sql("judge_cluster_research", judge=True))
+@query("p04_judge_cluster_research", summary_sql("judge_cluster_research", judge=True))
 def judge_cluster_research(spark, sf):
     return _summary(spark, sf, JUDGE_CLUSTER_RESEARCH)
 
 
-@query("p04_language_research", _summary_sql("language_research", language=True))
+@query("p04_language_research", summary_sql("language_research", language=True))
 def language_research(spark, sf):
     return _summary(spark, sf, LANGUAGE_RESEARCH)
 
@@ -230,7 +230,18 @@ def registry(spark, sf):
     return first
 
 
-@query("p01_required_columns")
+_SIZES = " union all ".join(
+    f"select '{name}' population_id, eligible_rows from ({summary_sql(name, **options)})"
+    for name, options in (
+        ("base_research", {}),
+        ("legacy_score", {"legacy": True}),
+        ("judge_cluster_research", {"judge": True}),
+        ("language_research", {"language": True}),
+    )
+)
+
+
+@query("p01_required_columns", f"select population_id, eligible_rows, true refuses_missing_columns from ({_SIZES})")
 def required_columns(spark, sf):
     """Applying a population to a table without its flags fails; every registered population accepts ours."""
     rows = canonical_table(spark, sf)

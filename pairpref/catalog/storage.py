@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
 from pairpref.catalog import query
 from pairpref.catalog.descriptive import statistics
-from pairpref.catalog.tables import LEADERBOARD, canonical_table, cleaned
+from pairpref.catalog.populations import summary_sql
+from pairpref.catalog.tables import CLEANED, LEADERBOARD, canonical_table, cleaned, population_sql
 from pairpref.catalog.uncertainty import SCORES, points, scores
 from pairpref.fixtures import PROVENANCE, table
+from pairpref.functions.identity import canonical_json
 from pairpref.operators.bootstrap import BootstrapConfig
 from pairpref.operators.estimate import EstimatorConfig
 from pairpref.operators.leaderboard import proportions
@@ -80,7 +83,17 @@ def relational_tables(spark, sf):
     return tables["model_statistics"].select("model_name", "battle_count", "score")
 
 
-@query("s07_table_shapes")
+_STORED_VALUES = {f.name: f"count({f.name})" for f in ARENA_BATTLE} | {
+    "record_id": "count(*)", "topic_cluster": "0", "language": 'count("language")',
+    "response_a_text": "count(*)", "response_b_text": "count(*)",
+}
+
+
+@query("s07_table_shapes", CLEANED + " union all ".join(
+    f"select {i}::int \"position\", '{f.name}' \"column\", '{f.dataType.simpleString()}' \"type\","
+    f" ({_STORED_VALUES[f.name]})::bigint \"values\" from cleaned"
+    for i, f in enumerate(ARENA_BATTLE)
+))
 def table_shapes(spark, sf):
     """Stored battles per column: how many values each has, in the declared order."""
     battles = shaped(cleaned(spark, sf).withColumn("record_id", F.col("source_row_index")), ARENA_BATTLE)
@@ -146,17 +159,39 @@ def run_store(spark, sf):
     return names.groupBy("table", "status").agg((F.count(F.lit(1)) > 0).alias("present"))
 
 
-@query("i01_run_ids")
+def _run_id(spec):
+    return run_id_for(
+        snapshot=PROVENANCE.snapshot_id, population_id=spec.population_id,
+        population_spec_version=spec.population_spec_version, git_commit="c" * 40, analysis_config={"seed": 42},
+    )
+
+
+def _identity_sql(name: str) -> str:
+    """The identity of a run definition written out as its canonical JSON."""
+    snapshot = f"sha256('{canonical_json(asdict(PROVENANCE))}')"
+    head = '{"analysis_config":{"seed":42},"canonical_schema_version":2,"git_commit":"' + "c" * 40 + '","population_id":"'
+    tail = '","population_spec_version":2,"source_snapshot_id":"'
+    return f"sha256('{head}{name}{tail}' || {snapshot} || '\"}}')"
+
+
+_RUN_IDS = " union all ".join(
+    f"select population_id, eligible_rows, {_identity_sql(name)} run_id from ({summary_sql(name, **options)})"
+    for name, options in (
+        ("base_research", {}),
+        ("legacy_score", {"legacy": True}),
+        ("judge_cluster_research", {"judge": True}),
+        ("language_research", {"language": True}),
+    )
+)
+
+
+@query("i01_run_ids", _RUN_IDS)
 def run_ids(spark, sf):
     """Run ids of the four populations with their sizes; any change of definition changes the id."""
     frames = []
     for spec in POPULATIONS.values():
-        run_id = run_id_for(
-            snapshot=PROVENANCE.snapshot_id, population_id=spec.population_id,
-            population_spec_version=spec.population_spec_version, git_commit="c" * 40, analysis_config={"seed": 42},
-        )
         size = apply_population(canonical_table(spark, sf), spec).summary.select("population_id", "eligible_rows")
-        frames.append(size.withColumn("run_id", F.lit(run_id)))
+        frames.append(size.withColumn("run_id", F.lit(_run_id(spec))))
     first, *rest = frames
     for frame in rest:
         first = first.unionByName(frame)
@@ -178,7 +213,11 @@ def manifests(spark, sf):
     return manifest_violations(many.drop("k")).groupBy("violation").agg(F.count(F.lit(1)).alias("manifests"))
 
 
-@query("i03_formal_run")
+@query("i03_formal_run", population_sql(judge=True) + """,
+m as (select count(*) k from (select model_a_id from eligible union select model_b_id from eligible))
+select t.name "table", t.n "rows" from m, lateral (
+  select unnest(['manifest', 'point', 'fits', 'scores', 'statuses', 'score_intervals', 'rank_summary', 'pairwise']) name,
+    unnest([1, 1, 8, 8 * k, 8, k, k, k * (k - 1) // 2]) n) t""")
 def formal_run(spark, sf):
     """One run from canonical battles to result tables: rows per table."""
     run = run_analysis(canonical_table(spark, sf), PROVENANCE, RUN, commit="c" * 40, branch="main")
