@@ -84,7 +84,7 @@ def relational_tables(spark, sf):
 
 
 _STORED_VALUES = {f.name: f"count({f.name})" for f in ARENA_BATTLE} | {
-    "record_id": "count(*)", "topic_cluster": "0", "language": 'count("language")',
+    "record_id": "count(*)", "topic_cluster": "count(*) * 0", "language": 'count("language")',
     "response_a_text": "count(*)", "response_b_text": "count(*)",
 }
 

@@ -38,7 +38,8 @@ def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical battles as stored for analysis: all columns but the raw conversations."""
 
     def build() -> DataFrame:
-        return canonicalize(raw_table(spark, sf_dir), PROVENANCE).drop("conversation_a", "conversation_b")
+        battles = canonicalize(raw_table(spark, sf_dir), PROVENANCE, measured=True)
+        return battles.drop("conversation_a", "conversation_b")
 
     return once(spark, sf_dir, "canonical", build)
 

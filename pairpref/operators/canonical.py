@@ -89,18 +89,22 @@ def _all(flags: tuple[str, ...]) -> Column:
     return condition
 
 
-def canonicalize(raw: DataFrame, provenance: Provenance, *, check_index: bool = False) -> DataFrame:
+def canonicalize(
+    raw: DataFrame, provenance: Provenance, *, check_index: bool = False, measured: bool = False
+) -> DataFrame:
     """Canonical battles from raw ones.
 
     Everything is one narrow pass except ``exact_duplicate``, which Spark leaves out of the plan when no later
-    step reads it. ``check_index`` spends one aggregate job on the row-index contract.
+    step reads it. Who stores the result reads it always: ``measured`` then counts the copies first, in a job
+    of its own, so that few groups of copies can be broadcast and conversations stay where they were read.
+    ``check_index`` spends one aggregate job on the row-index contract.
     """
     if "source_row_index" not in raw.columns:
         raise ValueError("raw battles need a source_row_index column")
     if check_index:
         require_row_index(raw)
     key = duplicate_key(raw)
-    df = with_group_size(raw, key, "__copies", F.col("source_row_index"), at_least=2)
+    df = with_group_size(raw, key, "__copies", F.col("source_row_index"), at_least=2, measured=measured)
     df = with_optional_columns(df)
     types = {f.name: f.dataType for f in df.schema}
     no_time, stamp = read_time(F.col("tstamp"), types["tstamp"])

@@ -71,7 +71,7 @@ def canonical_snapshot(
     if provenance.source_file_sha256 is not None:
         check_source(spark, path, provenance.source_file_sha256)
     raw = read_parquet(spark, path).withColumnRenamed(index_column, "source_row_index")
-    return stored(canonicalize(raw, provenance, check_index=True).drop("conversation_a", "conversation_b"))
+    return stored(canonicalize(raw, provenance, check_index=True, measured=True).drop("conversation_a", "conversation_b"))
 
 
 def run_analysis(canonical: DataFrame, provenance: Provenance, config: RunConfig, *, commit: str, branch: str) -> Run:

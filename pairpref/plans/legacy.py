@@ -30,7 +30,7 @@ def descriptive_report(
     raw: DataFrame, provenance: Provenance, *, clustering: bool = False, classifier: bool = False
 ) -> Report:
     """Only the leaderboard uses the filtered population; summaries and classifier see every cleaned row."""
-    canonical = stored(canonicalize(raw, provenance).drop("conversation_a", "conversation_b"))
+    canonical = stored(canonicalize(raw, provenance, measured=True).drop("conversation_a", "conversation_b"))
     cleaned = add_rule_topics(legacy_columns(canonical))
     keywords = None
     if clustering:

@@ -11,24 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairpref.session import broadcast_if_small, cut
+
 HEAVY_SHARE = 1024
 SPREAD = 4096
 
 
 def with_group_size(
-    df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column, *, at_least: int
+    df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column, *, at_least: int, measured: bool = False
 ) -> DataFrame:
     """Add the number of rows that share ``fingerprint`` (a SHA-256 text), null below ``at_least`` rows.
 
-    Leaving out small groups keeps the joined side as small as the answer allows; where that fits a broadcast,
-    Spark sees so at run time and the rows are not shuffled at all. ``spread_by`` is a column that differs
-    between rows of a hot key. Both joined sides are unique on the key, so Spark drops the whole computation
-    when the size is not used downstream.
+    Leaving out small groups keeps the joined side as small as the answer allows. ``spread_by`` is a column
+    that differs between rows of a hot key.
+
+    By default the plan is lazy; both joined sides are unique on the key, so Spark drops the whole computation
+    when the size is not used downstream. With ``measured`` the groups are counted and materialised first, and
+    when they are few they are broadcast: then wide rows are never shuffled.
     """
     rows = df.withColumn("__fp", fingerprint)
-    sizes = rows.where(F.col("__fp").isNotNull()).groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__total")).scalar()
-    heavy, wanted = F.col("__n") * HEAVY_SHARE > total, F.col("__n") >= at_least
+    keyed = rows.where(F.col("__fp").isNotNull())
+    sizes = keyed.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
+    wanted = F.col("__n") >= at_least
+    if measured:
+        groups = cut(sizes.where(wanted))
+        small = broadcast_if_small(groups)
+        if small is not groups:
+            return rows.join(small, "__fp", "left").withColumnRenamed("__n", size_column).drop("__fp")
+        total, sizes = keyed.agg(F.count(F.lit(1)).alias("__total")).scalar(), groups
+    else:
+        total = sizes.agg(F.sum("__n").alias("__total")).scalar()
+    heavy = F.col("__n") * HEAVY_SHARE > total
     hot = sizes.where(heavy & wanted).select("__fp", F.col("__n").alias("__hot"))
     cold = sizes.where(~heavy & wanted).select(F.col("__fp").alias("__key"), F.col("__n").alias("__cold"))
     joined = rows.join(F.broadcast(hot), "__fp", "left")

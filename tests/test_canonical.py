@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pairpref import skew
 from pairpref.fixtures import PROVENANCE, battles_raw
 from pairpref.functions.conversation import judge_text, parse_conversation
 from pairpref.functions.identity import canonical_json, label_seed
@@ -15,7 +16,7 @@ from pairpref.functions.outcomes import anony_truth, canonical_outcome
 from pairpref.functions.text import WHITESPACE, trimmed
 from pairpref.functions.timestamps import read_time, time_error
 from pairpref.operators.canonical import Provenance, canonicalize, clean_arena, require_row_index
-from pairpref.skew import with_group_size
+from pairpref.session import broadcast_if_small
 
 TALK = [{"role": "user", "content": "Hi"}, {"role": "assistant", "content": "Hello"}]
 RAW = (
@@ -205,13 +206,17 @@ def test_cleaning_keeps_every_row(spark, sf):
     assert {"prompt_len", "len_diff", "battle_date", "winner"} <= set(cleaned.columns)
 
 
-def test_group_sizes_with_one_dominant_key(spark):
-    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9000)).alias("k"))
-    sized = with_group_size(rows, F.sha2("k", 256), "n", F.col("id"), at_least=2)
-    wrong = sized.join(rows.groupBy("k").agg(F.count("*").alias("want")), "k").where(
-        ~F.col("n").eqNullSafe(F.when(F.col("want") >= 2, F.col("want")))
-    )
-    assert sized.count() == 30_000 and wrong.isEmpty()
+@pytest.mark.parametrize(("measured", "limit"), [(False, None), (True, None), (True, 10)])
+def test_group_sizes_with_one_dominant_key(spark, monkeypatch, measured, limit):
+    if limit is not None:  # more groups than may be broadcast
+        monkeypatch.setattr(skew, "broadcast_if_small", lambda df: broadcast_if_small(df, limit))
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 9000))
+    rows = spark.range(30_000).select("id", key.alias("k"))
+    sized = skew.with_group_size(rows, F.sha2("k", 256), "n", F.col("id"), at_least=2, measured=measured)
+    counts = rows.groupBy("k").agg(F.count("*").alias("want"))
+    wanted = F.when(F.col("want") >= 2, F.col("want"))
+    wrong = sized.join(counts, "k").where(~F.col("n").eqNullSafe(wanted))
+    assert sized.count() == 30_000 and wrong.isEmpty() and sized.where("k is null and n is not null").isEmpty()
 
 
 def test_identities():
