@@ -29,7 +29,9 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    # Some Arrow kernels misread offsets that do not begin at zero, so the values are laid down anew.
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return column.take(pa.array(np.arange(len(column))))
 
 
 def _without_empty(lists: pa.LargeListArray) -> tuple[np.ndarray, pa.Array]:
