@@ -179,13 +179,13 @@ def _piece(encoder: Encoder, batch: pa.RecordBatch, want: tuple[str, ...]) -> pa
     texts, text_at = encoder.decoded.take(pa.array(places)).to_pylist(), offsets
     out = {
         "n_tokens": lambda i: int(id_at[i + 1] - id_at[i]),
-        "ids": lambda i: ids[id_at[i] : id_at[i + 1]].tolist(),
         "ids_sha256": lambda i: hashlib.sha256(ids[id_at[i] : id_at[i + 1]].tobytes()).hexdigest(),
         "decoded": lambda i: b"".join(texts[text_at[i] : text_at[i + 1]]),
         "decoded_sha256": lambda i: hashlib.sha256(b"".join(texts[text_at[i] : text_at[i + 1]])).hexdigest(),
     }
-    types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
-    made = [pa.array([out[name](i) for i in range(len(batch))], types.get(name, pa.string())) for name in want]
+    types = {"n_tokens": pa.int64(), "decoded": pa.binary()}
+    lists = pa.LargeListArray.from_arrays(pa.array(id_at), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+    made = [lists if name == "ids" else pa.array([out[name](i) for i in range(len(batch))], types.get(name, pa.string())) for name in want]
     return pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), *made], ["rest", "text", *want])
 
 

@@ -1,4 +1,15 @@
 """All registered queries of this subpackage."""
 
-from pairpref.llm import line_dedup, substring_dedup  # noqa: F401
+from pairpref.llm import (  # noqa: F401
+    byte_bpe,
+    chat_format,
+    embedding_dedup,
+    jaccard_join,
+    line_dedup,
+    packing,
+    quality_rules,
+    source_mixing,
+    substring_dedup,
+    url_filter,
+)
 from pairpref.llm.catalog import EQUIVALENT_SQL, QUERIES  # noqa: F401

@@ -36,7 +36,7 @@ def document_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of whole texts of about BATCH_CHARS bytes; one very long text is a piece of its own."""
     texts = as_texts(batch.column("text"))
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -88,7 +88,7 @@ def _to_buckets(unit: str, width: int, buckets: int) -> Callable:
     split = UNITS[unit]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _slices(whole)):
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             offsets, elements = split(as_texts(batch.column("text")))
             runs, texts, hashes = runs_of(offsets, fingerprints(elements), width)
             if len(runs) == 0:
