@@ -2,11 +2,14 @@
 
 A document's set holds its distinct four-word shingles (A-Z lower-cased). Sets with Jaccard similarity of at least
 ``PERCENT`` link. Equal sets are one node from the start. Two linking sets share at least one of each other's first
-n - T + 1 shingles in any fixed order (T: overlap a set of n needs); the order here is by length of the shingle, since
-long ones are rare. Only these are shuffled. Where such a shingle occurs in several sets, sets next to one another
-in size are chained if their sizes allow a link, so the chains cover all candidates by a linear number of edges.
-
-The chains' components are the blocks. A block's inverted lists are searched: short lists are merged by a heap and give
+n - T + 1 shingles in any fixed order (T: overlap a set of n needs). The order here is by length of the shingle, since
+long ones are rare; a first pass over these heads finds the frequent shingles among them, which the order of the
+second pass puts last (at most ``DEMOTED`` of them, the most frequent; any order gives the same links). Only heads are shuffled. The few sets of a rare shingle are candidates of each other where their
+sizes allow a link and their parity bitmaps (about one bit a shingle; the differing bits of two sets are at most the
+shingles that differ) do not rule it out. The sets of a frequent shingle are only chained in order of size, a linear
+number of edges that connects all candidates.
+
+The components of these edges are the blocks. A block's inverted lists are searched: short lists are merged by a heap and give
 the sets that occur often enough there, long lists are only probed by binary search, and a set that reaches the
 required overlap links. Only what connects components is wanted, so sets known to be connected are not probed, and
 every set outside the largest component of its block is a query. A block of more than ``TILE`` shingles is divided
@@ -37,7 +40,10 @@ from pairpref.session import broadcast_if_small, stored
 
 WIDTH, PERCENT = 4, 85
 TILE, MU = 500_000, 0.01
-SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: A shingle in more sets than this is frequent.
+RARE, DEMOTED = 8, 1 << 20
+ENTRY = np.dtype([("shingle", "<u8"), ("name", "<i8"), ("n", "<i4")])
+SECOND, THIRD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -45,8 +51,8 @@ def needed(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, shingles, lengths): the distinct shingles of each text, longest first, then by hash."""
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, shingles): the distinct shingles of each text, longest first, then by hash (56 bits and the length)."""
     offsets, words = words_of(pc.ascii_lower(texts))
     prints, chars = fingerprints(words), pc.binary_length(words).to_numpy().astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -59,13 +65,14 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
         whole = [int(mixed(np.array([sum(int(p) * pow(3, i + 1, 1 << 64) for i, p in enumerate(prints[offsets[s] : offsets[s + 1]])) % (1 << 64)], np.uint64) + np.uint64(count[s]))[0]) for s in short]
         owner, value = np.concatenate([owner, short]), np.concatenate([value, np.array(whole, np.uint64)])
         length = np.concatenate([length, sums[offsets[short + 1]] - sums[offsets[short]]])
-    length = np.minimum(length, 255)
-    order = np.lexsort((value, -length, owner))
-    owner, value, length = owner[order], value[order], length[order]
+    # The rank by length takes the first byte, so that one sort orders and brings equal shingles together.
+    value = (np.uint64(255) - np.minimum(length, 255).astype(np.uint64) << np.uint64(56)) | (value >> np.uint64(8))
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
     if len(owner):
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
-        owner, value, length = owner[new], value[new], length[new]
-    return np.searchsorted(owner, np.arange(len(offsets))), value, length
+        owner, value = owner[new], value[new]
+    return np.searchsorted(owner, np.arange(len(offsets))), value
 
 
 def set_names(offsets: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -74,63 +81,113 @@ def set_names(offsets: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return mixed(np.diff(sums) + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def parity_bits(offsets: np.ndarray, shingles: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: bit h is the parity of its shingles that fall there; a power of two of at least n bits."""
+    out, scrambled = [], mixed(shingles ^ THIRD)
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        width = max(128, 1 << int(b - a - 1).bit_length()) if b > a else 128
+        odd = np.bincount((scrambled[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Differing bits; the wider bitmap is folded to the width of the other, which keeps parities."""
+    short, long = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(long) > len(short):
+        long = np.bitwise_xor.reduce(long.reshape(2, -1), axis=0)
+    return int(np.bitwise_count(short ^ long).sum())
+
+
 def _sizes(width: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            offsets, shingles, _ = shingle_sets(as_texts(batch.column("text")), width)
+            offsets, shingles = shingle_sets(as_texts(batch.column("text")), width)
+            sets = [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            made = [pa.array(np.diff(offsets)), pa.array(set_names(offsets, shingles)), pa.array(parity_bits(offsets, shingles), pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_key"), batch.column("print"), pa.array(np.diff(offsets)), pa.array(set_names(offsets, shingles))],
-                ["doc_key", "print", "n_shingles", "name"],
+                [batch.column("doc_key"), batch.column("print"), *made], ["doc_key", "print", "n_shingles", "name", "bits", "shingles"]
             )
 
     return apply
 
 
-def _prefixes(width: int, percent: int, buckets: int) -> Callable:
+def _heads(percent: int, buckets: int, last) -> Callable:
+    """The first n - T + 1 shingles of each set, those in ``last`` (a broadcast sorted array) after all others."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole)):
-            offsets, shingles, _ = shingle_sets(as_texts(batch.column("text")), width)
-            n = np.diff(offsets)
-            _, first = np.unique(names := set_names(offsets, shingles), return_index=True)
-            first = first[n[first] > 0]
-            take = n[first] - needed(n[first], percent) + 1
-            rows = ranges(offsets[first], take)
-            entry = np.empty(len(rows), [("shingle", "<u8"), ("name", "<i8"), ("n", "<i4")])
-            entry["shingle"], entry["name"], entry["n"] = shingles[rows], np.repeat(names[first], take), np.repeat(n[first], take)
-            bucket = (entry["shingle"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entry, bucket = entry[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            parts = [entry[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(parts, pa.binary())], ["bucket", "entries"])
+        late = last.value
+        for whole in batches:
+            sizes = np.cumsum(whole.column("n_shingles").to_numpy())
+            begin = 0
+            while begin < len(sizes):
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + TILE, "right")))
+                yield part(whole.slice(begin, end - begin), late)
+                begin = end
+
+    def part(batch: pa.RecordBatch, late: np.ndarray) -> pa.RecordBatch:
+        name, first = np.unique(batch.column("name").to_numpy(), return_index=True)
+        n = batch.column("n_shingles").to_numpy()[first]
+        column = batch.column("shingles")
+        shingles = np.frombuffer(b"".join(column[int(i)].as_buffer() for i in first), np.uint64)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        take = n - needed(n, percent) + 1
+        if len(late):
+            end = np.searchsorted(late, shingles).clip(0, len(late) - 1)
+            demoted = late[end] == shingles
+            order = np.lexsort((demoted, np.repeat(np.arange(len(n)), n)))  # stable: within a set only the demoted move
+            shingles = shingles[order]
+        rows = ranges(offsets[:-1], take)
+        entry = np.empty(len(rows), ENTRY)
+        entry["shingle"], entry["name"], entry["n"] = shingles[rows], np.repeat(name, take), np.repeat(n, take)
+        bucket = (mixed(entry["shingle"]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        entry, bucket = entry[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        parts = [entry[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(parts, pa.binary())], ["bucket", "entries"])
 
     return apply
 
 
+def _entries(bucket: pa.Table) -> np.ndarray:
+    """Distinct (shingle, n, name) of a bucket in this order; equal sets count once."""
+    entry = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in bucket.column("entries")])
+    entry = entry[np.lexsort((entry["name"], entry["n"], entry["shingle"]))]
+    return entry[np.concatenate([[True], (entry["shingle"][1:] != entry["shingle"][:-1]) | (entry["name"][1:] != entry["name"][:-1])])]
+
+
+def _frequent(bucket: pa.Table) -> pa.Table:
+    shingle, sets = np.unique(_entries(bucket)["shingle"], return_counts=True)
+    return pa.table({"shingle": pa.array(shingle[sets > RARE].view(np.int64)), "sets": pa.array(sets[sets > RARE].astype(np.int64))})
+
+
 def _chains(percent: int) -> Callable:
     def apply(bucket: pa.Table) -> pa.Table:
-        kind = [("shingle", "<u8"), ("name", "<i8"), ("n", "<i4")]
-        entry = np.concatenate([np.frombuffer(x.as_py(), kind) for x in bucket.column("entries")])
-        order = np.lexsort((entry["name"], entry["n"], entry["shingle"]))
-        entry = entry[order]
-        a, b = entry[:-1], entry[1:]
-        fit = (a["shingle"] == b["shingle"]) & (a["name"] != b["name"]) & (100 * a["n"].astype(np.int64) >= percent * b["n"].astype(np.int64))
-        pairs = np.unique(np.stack([np.minimum(a["name"][fit], b["name"][fit]), np.maximum(a["name"][fit], b["name"][fit])]), axis=1)
-        return pa.table({"u": pa.array(pairs[0]), "v": pa.array(pairs[1])})
+        entry = _entries(bucket)
+        edges = np.flatnonzero(np.concatenate([[True], entry["shingle"][1:] != entry["shingle"][:-1], [True]]))
+        group = np.repeat(np.diff(edges), np.diff(edges))
+        found, rare = [np.empty((2, 0), np.int64)], [np.empty(0, bool)]
+        for gap in range(1, RARE):
+            a, b, few = entry[:-gap], entry[gap:], group[:-gap] <= RARE
+            fit = (a["shingle"] == b["shingle"]) & (a["name"] != b["name"]) & (100 * a["n"].astype(np.int64) >= percent * b["n"].astype(np.int64))
+            fit &= few if gap > 1 else True
+            found.append(np.stack([np.minimum(a["name"][fit], b["name"][fit]), np.maximum(a["name"][fit], b["name"][fit])]))
+            rare.append(few[fit])
+        pairs, rare = np.concatenate(found, axis=1), np.concatenate(rare)
+        pairs, first = np.unique(np.concatenate([pairs, rare[None].astype(np.int64)]), axis=1, return_index=True)
+        return pa.table({"u": pa.array(pairs[0]), "v": pa.array(pairs[1]), "rare": pa.array(rare[first])})
 
     return apply
 
 
-def _load(width: int) -> Callable:
-    """(unit, block, tile, name, shingles) of the documents that stand for the candidate sets."""
-
+def _possible(percent: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole)):
-            offsets, shingles, _ = shingle_sets(as_texts(batch.column("text")), width)
-            sets = [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("block", "tile", "name")], pa.array(sets, pa.binary())], ["block", "tile", "name", "shingles"]
-            )
+        for batch in batches:
+            sizes = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            most = sizes - 2 * -(-percent * sizes // (100 + percent))
+            apart = [bits_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column("bits_u"), batch.column("bits_v"))]
+            yield batch.select(["u", "v"]).filter(pa.array(np.array(apart, np.int64) <= most))
 
     return apply
 
@@ -246,24 +303,26 @@ def _searched(rows: DataFrame, units: int, percent: int) -> DataFrame:
 
 def _visits(members: DataFrame, visitors: DataFrame, tiles: DataFrame) -> DataFrame:
     """Members of divided blocks, and the visitors once for each tile of their block."""
-    sent = visitors.join(tiles, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).cast("long").alias("tile"), "name", "shingles")
+    sent = visitors.join(tiles, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "name", "shingles")
     return members.withColumn("own", F.lit(True)).unionByName(sent.withColumn("own", F.lit(False)))
 
 
-def _links(keyed: DataFrame, sets: DataFrame, chains: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(sets: DataFrame, chains: DataFrame, percent: int) -> DataFrame:
     """(u, v): links among candidate sets, enough to connect all that links connect."""
-    near = stored(components(chains))
+    edges = stored(chains.groupBy("u", "v").agg(F.min("rare").alias("rare")))
+    about = lambda x: stands.select(F.col("name").alias(x), F.col("d.n").alias(f"n_{x}"), F.col("d.bits").alias(f"bits_{x}"))
+    stands = stored(sets.where("n_shingles > 0").groupBy("name").agg(F.min(F.struct("doc_key", "print", F.col("n_shingles").alias("n"), "bits")).alias("d")))
+    unsure = edges.where("rare").join(about("u"), "u").join(about("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    near = stored(components(edges.where("not rare").select("u", "v").union(unsure.mapInArrow(_possible(percent), "u long, v long"))))
     nodes = near.union(near.select(F.col("component"), "component").distinct())
-    stands = sets.where("n_shingles > 0").groupBy("name").agg(F.min(F.struct("doc_key", "print", F.col("n_shingles").alias("n"))).alias("d"))
-    placed = stored(stands.join(nodes.select(F.col("node").alias("name"), F.col("component").alias("block")), "name").select("name", "block", "d.*"))
+    placed = stored(stands.join(nodes.select(F.col("node").alias("name"), F.col("component").alias("block")), "name").select("name", "block", "d.doc_key", "d.print", "d.n"))
     weights = stored(placed.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.lit(1)).alias("tiles"), F.sum("n").alias("n")))
     total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    units = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TILE))
+    units = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TILE))
     tiled = placed.join(weights.select("block", "tiles"), "block").select(
         "doc_key", "print", "name", "block", F.pmod(F.xxhash64("name"), F.col("tiles")).alias("tile")
     )
-    wanted = keyed.join(broadcast_if_small(stored(tiled)), ["doc_key", "print"]).select("block", "tile", "name", "text")
-    loaded = wanted.mapInArrow(_load(width), "block long, tile long, name long, shingles binary")
+    loaded = sets.select("doc_key", "print", "shingles").join(broadcast_if_small(stored(tiled)), ["doc_key", "print"]).select("block", "tile", "name", "shingles")
     divided = stored(weights.where("tiles > 1").select("block", "tiles"))
     if divided.isEmpty():
         return _searched(loaded.withColumn("own", F.lit(True)), units, percent)
@@ -293,12 +352,17 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """Per row of ``docs`` (doc_id, text): doc_key, print, doc_id, n_shingles, component_id, and whether it is its group's first."""
     spark = docs.sparkSession
     keyed = docs.select(*document_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
-    sets = stored(keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long"))
+    sets = stored(keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary"))
     chars = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
-    entries = keyed.select("text").mapInArrow(_prefixes(width, percent, buckets), "bucket long, entries binary")
-    chains = entries.groupBy("bucket").applyInArrow(_chains(percent), "u long, v long")
-    reached = components(_links(keyed, sets, chains, width, percent))
+    share = spark.sparkContext.broadcast
+    heads = lambda last: sets.where("n_shingles > 0").select("name", "n_shingles", "shingles").mapInArrow(
+        _heads(percent, buckets, share(last)), "bucket long, entries binary"
+    ).groupBy("bucket")
+    frequent = heads(np.empty(0, np.uint64)).applyInArrow(_frequent, "shingle long, sets long")
+    last = frequent.orderBy(F.desc("sets"), "shingle").limit(DEMOTED).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    chains = heads(np.sort(last.view(np.uint64))).applyInArrow(_chains(percent), "u long, v long, rare boolean")
+    reached = components(_links(sets, chains, percent))
     some = sets.where("n_shingles > 0")
     first = F.min(F.struct((F.col("doc_key") == NO_ID).alias("unnamed"), "doc_key", "print")).alias("first")
     named = stored(
