@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pairpref.llm.catalog import query, table
 from pairpref.llm.components import Forest, components
-from pairpref.llm.tokens import as_texts, fingerprints, mixed, ranges, rolling, words_of
+from pairpref.llm.tokens import as_texts, fingerprints, mixed, ranges, rolling, small_batches, words_of
 from pairpref.llm.windows import BUCKET_CHARS, NO_ID, pieces
 from pairpref.session import broadcast_if_small, stored
 
@@ -351,6 +351,7 @@ def document_key(doc_id: Column, text: Column) -> list[Column]:
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_key, print, doc_id, n_shingles, component_id, and whether it is its group's first."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(*document_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
     sets = stored(keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary"))
     chars = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pairpref.llm.byte_bpe import read_ranks, tokenizer
 from pairpref.llm.catalog import query, table
+from pairpref.llm.tokens import small_batches
 
 LENGTH, PAD = 2048, 50256
 SHARD_CHARS = 8_000_000
@@ -133,6 +134,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
     """RESULT rows for ``docs`` (doc_id, text); vocabularies of up to 65,536 tokens."""
     if not 0 < length < 2**31 or len(read_ranks(path)) > 65_536:
         raise ValueError("a positive length and at most 65,536 tokens are supported")
+    small_batches(docs.sparkSession)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(partitions if chars > SHARD_CHARS else 1, -(-chars // SHARD_CHARS))

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+#: Rows of one Arrow batch: texts are long, so the default of 10,000 makes tasks large.
+BATCH_ROWS = 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,3 +97,10 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def small_batches(spark) -> None:
+    """Let Python tasks of this session take at most BATCH_ROWS rows at once, unless it already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairpref.llm.tokens import as_texts, fingerprints, lines_of, mixed, ranges, rolling, words_of
+from pairpref.llm.tokens import as_texts, fingerprints, lines_of, mixed, ranges, rolling, small_batches, words_of
 
 UNITS: dict[str, Callable] = {"words": words_of, "lines": lines_of}
 #: Characters of text whose windows share a bucket, on average, and batch of texts hashed at once.
@@ -161,6 +161,7 @@ def _later(bucket: pa.Table) -> pa.Table:
 def later_windows(keyed: DataFrame, unit: str, width: int) -> DataFrame:
     """REMOVED rows for ``keyed`` (doc_key, print, text): from ``first`` to ``last`` each start is a later window."""
     spark = keyed.sparkSession
+    small_batches(spark)
     chars = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
     parts = keyed.mapInArrow(_to_buckets(unit, width, buckets), "bucket long, runs binary, hashes binary")
