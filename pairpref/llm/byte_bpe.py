@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from pairpref.llm.catalog import query, table
-from pairpref.llm.tokens import as_texts, ranges
+from pairpref.llm.tokens import as_texts, ranges, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct stretches a task remembers, characters handled at once, and words of one recursive query.
-REMEMBERED, PIECE_CHARS, QUERY_WORDS = 300_000, 4_000_000, 20_000
+REMEMBERED, PIECE_CHARS, QUERY_WORDS = 500_000, 4_000_000, 20_000
 #: White space other than U+0009 to U+000D and the space; a text with any is split by the pattern as a whole.
 OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ENCODE = """
@@ -47,7 +47,7 @@ with recursive state as (
 select word, tokens from state where not open order by word
 """
 DECODE = """
-select item, string_agg(hex, '' order by pos) as text
+select item, unhex(string_agg(hex, '' order by pos)) as text
 from (select item, unnest(ids) as id, generate_subscripts(ids, 1) as pos from encoded) join vocabulary using (id)
 group by item order by item
 """
@@ -86,8 +86,24 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(edges, np.append(begin, len(data))), parts
 
 
+class Lists:
+    """Growing lists of numbers, kept flat."""
+
+    def __init__(self, kind: type) -> None:
+        self.offsets, self.values = np.zeros(1, np.int64), np.empty(0, kind)
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.values = np.concatenate([self.values, values])
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the lists at ``places`` one after the other, and where each list begins and the last ends."""
+        sizes = self.offsets[places + 1] - self.offsets[places]
+        return self.values[ranges(self.offsets[places], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+
 class Encoder:
-    """Encodes and decodes distinct stretches with a DuckDB connection of its own; one lives in each task."""
+    """Encodes and decodes distinct words with a DuckDB connection of its own; one lives in each task."""
 
     def __init__(self, tokens: list[bytes], ids: np.ndarray, merges: np.ndarray, pattern: str):
         import duckdb
@@ -101,56 +117,56 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.decoded = pa.array([], pa.large_list(pa.int32())), pa.array([], pa.large_binary())
+        self.stretch: dict[bytes, int] = {}
+        self.word: dict[str, int] = {}
+        self.words, self.ids, self.decoded = Lists(np.int64), Lists(np.int32), Lists(np.uint8)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.execute(f"create or replace temp table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word by contraction to the fixpoint."""
-        found: list[list[int]] = []
-        for at in range(0, len(words), QUERY_WORDS):
-            some = words[at : at + QUERY_WORDS]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of distinct words: whole tokens as they are, all others contracted to the fixpoint."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        open_ = np.flatnonzero(whole < 0)
+        found = Lists(np.int32)
+        found.add(np.ones(len(words), np.int64), whole.astype(np.int32))
+        place = np.arange(len(words))
+        place[open_] = len(words) + np.arange(len(open_))
+        for at in range(0, len(open_), QUERY_WORDS):
+            some = [words[i] for i in open_[at : at + QUERY_WORDS]]
             size = np.fromiter(map(len, some), np.int64, len(some))
             pos = ranges(np.zeros(len(some), np.int64), size)
-            word = np.repeat(np.arange(len(some)), size)
             token = self.bytes[np.frombuffer(b"".join(some), np.uint8)]
-            self._load("start", pa.table({"word": word, "pos": pos, "token": token}))
-            found += self.db.sql(ENCODE).to_arrow_table().column("tokens").to_pylist()
-        return found
-
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """The bytes of each list of ids: token rows joined with the vocabulary, aggregated in order."""
-        self._load("encoded", pa.table({"item": np.arange(len(ids)), "ids": ids}))
-        rows = self.db.sql(DECODE).to_arrow_table()
-        texts = [b""] * len(ids)
-        for item, text in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist()):
-            texts[item] = bytes.fromhex(text)
-        return pa.array(texts, pa.large_binary())
+            self._load("start", pa.table({"word": np.repeat(np.arange(len(some)), size), "pos": pos, "token": token}))
+            tokens = self.db.sql(ENCODE).to_arrow_table().column("tokens").combine_chunks()
+            found.add(pc.list_value_length(tokens).to_numpy(), tokens.flatten().to_numpy())
+        ids, begin = found.at(place)
+        return np.diff(begin), ids
+
+    def decode(self, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, bytes) of lists of ids: token rows joined with the vocabulary, aggregated in order."""
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids))
+        self._load("encoded", pa.table({"item": np.arange(len(sizes)), "ids": lists}))
+        texts = self.db.sql(DECODE).to_arrow_table().column("text").combine_chunks()
+        return pc.binary_length(texts).to_numpy(), np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
 
     def learn(self, parts: list[bytes]) -> np.ndarray:
-        """The places of distinct stretches among those remembered; new ones are encoded and decoded now."""
-        new = [p for p in parts if p not in self.place]
+        """The places of distinct stretches among those remembered; the words of new ones are encoded and decoded now."""
+        new = [p for p in parts if p not in self.stretch]
         if new:
-            split = [[w.encode() for w in self.split(p.decode())] for p in new]
-            rest = list(dict.fromkeys(w for ws in split for w in ws if w not in self.ranks))
-            of = dict(zip(rest, self.words(rest)))
-            ids = [[i for w in ws for i in ((self.ranks[w],) if w in self.ranks else of[w])] for ws in split]
-            ids = pa.array(ids, pa.large_list(pa.int32()))
-            for p in new:
-                self.place[p] = len(self.place)
-            self.decoded = pa.concat_arrays([self.decoded, self.decode(ids)])
-            self.ids = pa.concat_arrays([self.ids, ids])
-        return np.fromiter((self.place[p] for p in parts), np.int64, len(parts))
-
-
-def _joined(offsets: np.ndarray, values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the lists at ``places`` one after the other, and where each list begins."""
-    size = offsets[places + 1] - offsets[places]
-    return values[ranges(offsets[places], size)], np.concatenate([[0], np.cumsum(size)])
+            split = [self.split(p.decode()) for p in new]
+            fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.word))
+            if fresh:
+                self.word.update(zip(fresh, range(len(self.word), len(self.word) + len(fresh))))
+                sizes, ids = self.encode([w.encode() for w in fresh])
+                self.ids.add(sizes, ids)
+                self.decoded.add(*self.decode(sizes, ids))
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            self.words.add(sizes, np.fromiter((self.word[w] for ws in split for w in ws), np.int64, int(sizes.sum())))
+            self.stretch.update(zip(new, range(len(self.stretch), len(self.stretch) + len(new))))
+        return np.fromiter((self.stretch[p] for p in parts), np.int64, len(parts))
 
 
 def _encode(shared, pattern: str, want: tuple[str, ...]):
@@ -171,17 +187,20 @@ def _encode(shared, pattern: str, want: tuple[str, ...]):
 def _piece(encoder: Encoder, batch: pa.RecordBatch, want: tuple[str, ...]) -> pa.RecordBatch:
     offsets, parts = stretches(as_texts(batch.column("text")))
     coded = parts.dictionary_encode()
-    if len(encoder.place) > REMEMBERED:
+    if len(encoder.stretch) > REMEMBERED:
         encoder.forget()
     places = encoder.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    ids, id_at = _joined(encoder.ids.offsets.to_numpy(), encoder.ids.values.to_numpy(), places)
-    ids, id_at = ids.astype("<u4"), id_at[offsets]
-    texts, text_at = encoder.decoded.take(pa.array(places)).to_pylist(), offsets
+    words, word_at = encoder.words.at(places)
+    word_at = word_at[offsets]
+    ids, id_at = encoder.ids.at(words)
+    ids, id_at = ids.astype("<u4"), id_at[word_at]
+    text, text_at = encoder.decoded.at(words)
+    text_at = text_at[word_at]
     out = {
         "n_tokens": lambda i: int(id_at[i + 1] - id_at[i]),
-        "ids_sha256": lambda i: hashlib.sha256(ids[id_at[i] : id_at[i + 1]].tobytes()).hexdigest(),
-        "decoded": lambda i: b"".join(texts[text_at[i] : text_at[i + 1]]),
-        "decoded_sha256": lambda i: hashlib.sha256(b"".join(texts[text_at[i] : text_at[i + 1]])).hexdigest(),
+        "ids_sha256": lambda i: hashlib.sha256(ids[id_at[i] : id_at[i + 1]]).hexdigest(),
+        "decoded": lambda i: text[text_at[i] : text_at[i + 1]].tobytes(),
+        "decoded_sha256": lambda i: hashlib.sha256(text[text_at[i] : text_at[i + 1]]).hexdigest(),
     }
     types = {"n_tokens": pa.int64(), "decoded": pa.binary()}
     lists = pa.LargeListArray.from_arrays(pa.array(id_at), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
@@ -198,6 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str, want: tuple[str, ...] = ("n
     """``docs`` with ``encoded``: a struct of the fields of SQL_TYPES that ``want`` names, from the column ``text``."""
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
     ranks = read_ranks(path)
     ids = np.fromiter(ranks.values(), np.int32, len(ranks))
     shared = docs.sparkSession.sparkContext.broadcast((list(ranks), ids, merge_table(ranks)))
