@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
-Equal vectors of a label are one class first. Classes spread over shards around pivots, each class in the shards of
-its two nearest pivots; shards still too large split again. In each shard every class gets neighbours by robust
+Equal vectors of a label are one class first. Classes spread over shards around pivots that lie apart, each class in the
+shards of its two nearest pivots; shards still too large split again. In each shard every class gets neighbours by robust
 pruning of its nearest and some random ones. The lists of a class are united over its shards, and a search runs for
-every class in each of its shards: greedy from the shard's medoid, then expanding from whatever is in range. Links
+every class in each of its shards: greedy from the shard's medoid and the class's own list, then expanding whatever
+is in range. Links
 are verified by cosine in double precision. A pair that meets in two shards counts in the first of them, so links are
 counted without a pair ever becoming a row; components come from star edges to local roots.
 
@@ -27,7 +28,7 @@ from pairpref.llm.components import Forest, components
 from pairpref.session import stored
 
 COSINE = 0.98
-SHARD, PIVOTS, HOMES = 1500, 64, 3
+SHARD, PIVOTS, HOMES, APART = 2000, 256, 2, 0.9
 POOL, RANDOM, DEGREE, ALPHA, BEAM, SLACK = 48, 16, 20, 1.2, 32, 0.04
 AUDIT, RECALL, TRIES = 256, 0.95, 3
 MEMBER = "shard long, rep long, n long, vector array<float>"
@@ -60,6 +61,15 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, same.where("rep is not null")
 
 
+def spread(pivots: np.ndarray) -> np.ndarray:
+    """Pivots no two of which are close, so that a dense group keeps a shard; all of them where only one would be left."""
+    close, kept = pivots @ pivots.T, []
+    for i in range(len(pivots)):
+        if not kept or close[i, kept].max() < APART:
+            kept.append(i)
+    return pivots[kept] if len(kept) > 1 else pivots
+
+
 def _nearest_pivots(homes: int):
     def assign(batches):
         for batch in batches:
@@ -71,7 +81,7 @@ def _nearest_pivots(homes: int):
                 own = [i for i in np.flatnonzero(shard == s) if out[i] is None]
                 if not own:
                     continue
-                centre = _unit(pa.array(pivots[own[0]].as_py(), pa.list_(pa.float32())))
+                centre = spread(_unit(pa.array(pivots[own[0]].as_py(), pa.list_(pa.float32()))))
                 near = np.argsort(-(_unit(vectors.take(pa.array(own))) @ centre.T), axis=1, kind="stable")[:, :homes]
                 names = [hash((int(s), k)) for k in range(len(centre))]
                 for i, best in zip(own, near):
@@ -94,7 +104,8 @@ def shards(found: DataFrame, homes: int) -> DataFrame:
             return members
         before = now[1]
         order = Window.partitionBy("shard").orderBy(F.xxhash64("rep"), "rep")
-        wanted = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("size") / SHARD) + 1)
+        # Enough pivots for shards half full, copies included.
+        wanted = F.least(F.lit(PIVOTS), F.ceil(2 * homes * F.col("size") / SHARD) + 1)
         few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).join(sizes, "shard").where(F.col("r") <= wanted)
         pivots = stored(few.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "vector"))), lambda x: x.vector).alias("pivots")))
         members = stored(members.join(pivots, "shard", "left").mapInArrow(_nearest_pivots(homes), MEMBER))
@@ -157,7 +168,8 @@ def _build(shard: pa.Table) -> pa.Table:
         for i, own in enumerate(lists):
             for j in own:
                 back[j].append(i)
-        lists = [np.union1d(own, np.array(b[:DEGREE], np.int64)) for own, b in zip(lists, back)]
+        # Every edge is also walked backwards; in dense groups many lists name the same few central classes.
+        lists = [np.union1d(own, np.array(b, np.int64)) for own, b in zip(lists, back)]
         start = medoid(unit)
         while not (seen := reachable(lists, start)).all():
             lost, known = np.flatnonzero(~seen)[0], np.flatnonzero(seen)
@@ -194,11 +206,11 @@ def _search(beam: int, cosine: float):
 
 
 def range_search(unit: np.ndarray, lists: list[np.ndarray], q: int, start: int, beam: int, cosine: float) -> np.ndarray:
-    """Greedy search with a beam from ``start``; then every node near the range is expanded until none is left."""
+    """Greedy search with a beam from ``start`` and the query's own list; every node near the range is expanded until none is left."""
     seen = np.zeros(len(unit), bool)
-    seen[start] = True
-    nodes, close = np.array([start]), np.array([unit[start] @ unit[q]])
-    done = np.zeros(1, bool)
+    nodes = np.unique([start, q])
+    seen[nodes] = True
+    close, done = unit[nodes] @ unit[q], np.zeros(len(nodes), bool)
     while True:
         kept = np.argsort(-close, kind="stable")[:beam]
         limit = min(close[kept[-1]], cosine - SLACK) if len(close) >= beam else -2.0
