@@ -101,7 +101,7 @@ def _distances(rows: DataFrame, factor: DataFrame) -> DataFrame:
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         joined = joined.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     square = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in DIMENSIONS), F.lit(0.0))
-    return joined.select(*rows.columns, F.round(F.least(square, F.lit(1e6)) * SCALE).cast("long").alias("d"))
+    return joined.select(*rows.columns, F.when(square.isNotNull(), F.round(F.least(square, F.lit(1e6)) * SCALE).cast("long")).alias("d"))
 
 
 def _floor(i: int) -> Column:
