@@ -283,7 +283,7 @@ def kmeans_topics(spark, sf):
 @query("m04_preference_model")
 def preference_model(spark, sf):
     """Held-out quality of the vote classifier."""
-    return train_preference_model(cleaned(spark, sf), trees=20).report
+    return train_preference_model(cleaned(spark, sf)).report
 
 
 @query("m05_class_weights", CLEANED + """

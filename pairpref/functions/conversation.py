@@ -103,8 +103,10 @@ def judge_text(text: str) -> tuple[str, list[dict[str, str]]]:
     except json.JSONDecodeError:
         try:
             document = ast.literal_eval(text)
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return "parse_error", []
+    except RecursionError:  # nested too deeply to read: one row must not end the run
+        return "parse_error", []
     if not isinstance(document, list):
         return "not_list", []
     turns = []

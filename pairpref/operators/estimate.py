@@ -183,7 +183,7 @@ def fit_cells(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = (
     large = [row.asDict() for row in sizes.where(F.col("k") > DENSE_MODELS).collect()] if by else []
     if not by:
         total = sizes.first()
-        if total is None:
+        if total is None or total["k"] == 0:
             raise EstimationError("ZERO_LIKELIHOOD_ROWS", "the population is empty")
         large = [{}] if total["k"] > DENSE_MODELS else []
     if not large:

@@ -110,6 +110,8 @@ def _minimise(pairs: DataFrame, k: int, ties: bool, config: EstimatorConfig):
             if new_value <= value - 1e-4 * share * drop + 1e-12 * abs(value):
                 break
             share *= 0.5
+        else:
+            return x, value, config.max_iterations, False
         step, change = new - x, new_slope - slope
         if step @ change > 0:
             history = [*history, (step, change)][-MEMORY:]
@@ -137,6 +139,8 @@ def fit_large(cells: DataFrame, config: EstimatorConfig, keys: dict[str, Any]) -
 
     if not out["likelihood_rows"]:
         return finish("ZERO_LIKELIHOOD_ROWS")
+    if k < 2:
+        return finish("INSUFFICIENT_MODELS")
     if not dropped_models(cells, config).isEmpty():
         return finish("MODEL_DROPPED_BY_OUTCOME_POLICY")
     facts = graph_facts(used, []).first()

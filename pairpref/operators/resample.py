@@ -156,7 +156,7 @@ def blocked_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
             "n": np.concatenate([sums for _, sums in kept]).astype("int64"),
         })
 
-    drawn = cells.groupBy("block").applyInPandas(draw, "replicate bigint, code int, n bigint")
+    drawn = cells.groupBy("block").applyInPandas(draw, "replicate bigint, code bigint, n bigint")
     return drawn.groupBy("replicate", "code").agg(F.sum("n").alias("n"))
 
 
@@ -177,4 +177,4 @@ def row_resample_cells(cells: DataFrame, replicates: int, seed: int) -> DataFram
                 found = np.flatnonzero(sums)
                 yield pd.DataFrame({"replicate": int(replicate), "code": codes[found], "n": sums[found]})
 
-    return grid.mapInPandas(draw, "replicate bigint, code int, n bigint")
+    return grid.mapInPandas(draw, "replicate bigint, code bigint, n bigint")
