@@ -27,7 +27,7 @@ from pairpref.llm.tokens import as_texts, ranges, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct stretches a task remembers, characters handled at once, and words of one recursive query.
-REMEMBERED, PIECE_CHARS, QUERY_WORDS = 500_000, 4_000_000, 20_000
+REMEMBERED, PIECE_CHARS, QUERY_WORDS = 250_000, 2_000_000, 20_000
 #: White space other than U+0009 to U+000D and the space; a text with any is split by the pattern as a whole.
 OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ENCODE = """
