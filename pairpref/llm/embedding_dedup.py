@@ -28,8 +28,8 @@ from pairpref.llm.components import Forest, components
 from pairpref.session import stored
 
 COSINE = 0.98
-SHARD, PIVOTS, HOMES, APART = 2000, 256, 2, 0.9
-POOL, RANDOM, DEGREE, ALPHA, BEAM, SLACK = 48, 16, 20, 1.2, 32, 0.04
+SHARD, PIVOTS, HOMES, APART, DEALT = 500, 256, 2, 0.9, 1000
+POOL, RANDOM, DEGREE, ALPHA, BEAM, STEP, SLACK = 48, 16, 20, 1.2, 16, 16, 0.04
 AUDIT, RECALL, TRIES = 256, 0.95, 3
 MEMBER = "shard long, rep long, n long, vector array<float>"
 
@@ -71,24 +71,15 @@ def spread(pivots: np.ndarray) -> np.ndarray:
 
 
 def _nearest_pivots(homes: int):
-    def assign(batches):
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            vectors, pivots = batch.column("vector"), batch.column("pivots")
-            out = [[i] if pivots[i].as_py() is None else None for i in range(len(batch))]
-            rows, to = [i for i, x in enumerate(out) if x], [int(shard[i]) for i, x in enumerate(out) if x]
-            for s in np.unique(shard):
-                own = [i for i in np.flatnonzero(shard == s) if out[i] is None]
-                if not own:
-                    continue
-                centre = spread(_unit(pa.array(pivots[own[0]].as_py(), pa.list_(pa.float32()))))
-                near = np.argsort(-(_unit(vectors.take(pa.array(own))) @ centre.T), axis=1, kind="stable")[:, :homes]
-                names = [hash((int(s), k)) for k in range(len(centre))]
-                for i, best in zip(own, near):
-                    rows += [i] * len(best)
-                    to += [names[k] for k in best]
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *[taken.column(c) for c in ("rep", "n", "vector")]], ["shard", "rep", "n", "vector"])
+    def assign(rows: pa.Table, named: pa.Table) -> pa.Table:
+        if not len(rows) or not len(named):
+            return rows.select(["shard", "rep", "n", "vector"])
+        shard = named.column("shard")[0].as_py()
+        centre = spread(_unit(pa.array(named.column("pivots")[0].as_py(), pa.list_(pa.float32()))))
+        near = np.argsort(-(_unit(rows.column("vector")) @ centre.T), axis=1, kind="stable")[:, :homes]
+        names = np.array([hash((shard, k)) for k in range(len(centre))], np.int64)
+        taken = rows.take(pa.array(np.repeat(np.arange(len(rows)), near.shape[1])))
+        return pa.table({"shard": names[near.ravel()], **{c: taken.column(c) for c in ("rep", "n", "vector")}})
 
     return assign
 
@@ -108,7 +99,12 @@ def shards(found: DataFrame, homes: int) -> DataFrame:
         wanted = F.least(F.lit(PIVOTS), F.ceil(2 * homes * F.col("size") / SHARD) + 1)
         few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).join(sizes, "shard").where(F.col("r") <= wanted)
         pivots = stored(few.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "vector"))), lambda x: x.vector).alias("pivots")))
-        members = stored(members.join(pivots, "shard", "left").mapInArrow(_nearest_pivots(homes), MEMBER))
+        # A shard is dealt out in pieces of about DEALT classes, each of which gets the pivots once.
+        pieces = F.ceil(F.col("size") / DEALT)
+        rows = members.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("rep"), pieces)).drop("size")
+        named = pivots.join(sizes, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("size")
+        split = rows.groupBy("shard", "piece").cogroup(named.groupBy("shard", "piece")).applyInArrow(_nearest_pivots(homes), MEMBER)
+        members = stored(split.unionByName(members.join(sizes, "shard", "left_anti")))
 
 
 def robust_pruned(unit: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -212,23 +208,18 @@ def range_search(unit: np.ndarray, lists: list[np.ndarray], q: int, start: int,
     seen[nodes] = True
     close, done = unit[nodes] @ unit[q], np.zeros(len(nodes), bool)
     while True:
-        kept = np.argsort(-close, kind="stable")[:beam]
-        limit = min(close[kept[-1]], cosine - SLACK) if len(close) >= beam else -2.0
-        wait = np.flatnonzero(~done & (close >= limit))
-        inside = wait[close[wait] >= cosine - SLACK]
-        if len(inside):
-            todo = inside
-        else:
-            wait = kept[~done[kept]]
-            if not len(wait):
+        todo = np.flatnonzero(~done & (close >= cosine - SLACK))
+        if not len(todo):
+            kept = np.argsort(-close, kind="stable")[:beam]
+            todo = kept[~done[kept]][:STEP]
+            if not len(todo):
                 return nodes[close >= cosine]
-            todo = wait[:4]
         done[todo] = True
-        new = np.unique(np.concatenate([lists[i] for i in nodes[todo]]))
-        new = new[~seen[new]]
+        new = np.concatenate([lists[i] for i in nodes[todo]])
+        new = np.unique(new[~seen[new]])
         seen[new] = True
-        nodes, done = np.append(nodes, new), np.append(done, np.zeros(len(new), bool))
-        close = np.append(close, unit[new] @ unit[q])
+        nodes, done = np.concatenate([nodes, new]), np.concatenate([done, np.zeros(len(new), bool)])
+        close = np.concatenate([close, unit[new] @ unit[q]])
 
 
 def searched(found: DataFrame, homes: int, beam: int, cosine: float) -> DataFrame:
