@@ -1,15 +1,14 @@
 """Conversations: a column of turns, or text in JSON or Python-literal form, to checked turns.
 
 The error code belongs to the first turn that is wrong. Typed columns and JSON text stay in the JVM; text
-that the JVM cannot judge (literal syntax, duplicate keys, members that are not text) is passed, alone, to
-one Arrow-batched function.
+that the JVM cannot judge (literal syntax, duplicate keys, members that are not text) is turned, alone, into
+plain JSON by one Arrow-batched function and then judged by the same columns.
 """
 
 from __future__ import annotations
 
 import ast
 import json
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +18,6 @@ from pyspark.sql import types as T
 from pairpref.functions.text import stripped
 from pairpref.schema import ROLES, TURNS
 
-PARSED = "struct<error:string,turns:array<struct<role:string,content:string>>>"
-
 
 def _with_parsed(df: DataFrame, target: str, error: Column, turns: Column) -> DataFrame:
     """Two steps, so that the error is computed once and only good conversations are rebuilt."""
@@ -92,47 +89,34 @@ def _parse_json(document: Column) -> tuple[Column, Column]:
     return F.when(document.isNotNull() & (error != "unsure"), error), turns
 
 
-def _blank(value: object) -> bool:
-    return value is None or (isinstance(value, float) and math.isnan(value))
+def _as_text(value: object) -> str | None:
+    return None if value is None or value != value else str(value)
+
 
+def plain_json(text: str | None) -> str | None:
+    """A JSON or Python-literal text as JSON whose roles and contents are text or null; None where it cannot be read.
 
-def judge_text(text: str) -> tuple[str, list[dict[str, str]]]:
-    """Judge one conversation text that is outside plain JSON."""
-    try:
-        document = json.loads(text)
-    except json.JSONDecodeError:
+    Only what the column chain looks at is kept; a turn that is no mapping becomes null.
+    """
+    if text is None:
+        return None
+    for read in (json.loads, ast.literal_eval):
         try:
-            document = ast.literal_eval(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return "parse_error", []
-    except RecursionError:  # nested too deeply to read: one row must not end the run
-        return "parse_error", []
+            document = read(text)
+            break
+        except (ValueError, SyntaxError, RecursionError, MemoryError):  # one odd row must not end the run
+            continue
+    else:
+        return None
     if not isinstance(document, list):
-        return "not_list", []
-    turns = []
-    for turn in document:
-        if not isinstance(turn, dict):
-            return "invalid_turn", []
-        if "role" not in turn:
-            return "missing_role", []
-        role = "" if _blank(turn["role"]) else str(turn["role"]).strip().lower()
-        if role not in ROLES:
-            return "invalid_role", []
-        if _blank(turn.get("content")):
-            return "missing_content", []
-        turns.append({"role": role, "content": str(turn["content"])})
-    return "ok", turns
+        return "{}"
+    keep = lambda turn: {k: _as_text(turn[k]) for k in ("role", "content") if k in turn}
+    return json.dumps([keep(turn) if isinstance(turn, dict) else None for turn in document])
 
 
 @F.pandas_udf(T.StringType())
-def _judge_odd_text(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        error, turns = judge_text(text)
-        return json.dumps({"error": error, "turns": turns})
-
-    return texts.map(one)
+def _plain_json(texts: pd.Series) -> pd.Series:
+    return texts.map(plain_json)
 
 
 def _document(text: Column) -> Column:
@@ -146,37 +130,51 @@ def _document(text: Column) -> Column:
     return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 
+def _judged(df: DataFrame, target: str, document: Column, text: Column, special: Column) -> DataFrame:
+    """From a VARIANT, or from ``text`` made plain first where the VARIANT is null or its members are not text.
+
+    ``special`` is the error of columns without any document, null for all others.
+    """
+    doc, judged, odd = (f"__{target}_{name}" for name in ("doc", "code", "odd"))
+    df = df.withColumn(doc, document)
+    error, turns = _parse_json(F.col(doc))
+    df = df.withColumn(judged, F.coalesce(special, error))
+    df = df.withColumn(odd, F.try_parse_json(_plain_json(F.when(F.col(judged).isNull(), text))))
+    odd_error, odd_turns = _parse_json(F.col(odd))
+    error = F.coalesce(F.col(judged), odd_error, F.lit("parse_error"))
+    return _with_parsed(df, target, error, F.when(F.col(odd).isNotNull(), odd_turns).otherwise(turns)).drop(doc, judged, odd)
+
+
 def _parse_text(df: DataFrame, column: str, target: str) -> DataFrame:
-    text, document, judged, odd = (f"__{target}_{name}" for name in ("text", "doc", "code", "odd"))
-    df = df.withColumn(text, stripped(F.col(column))).withColumn(document, _document(F.col(text)))
-    error, turns = _parse_json(F.col(document))
-    df = df.withColumn(judged, error)
-    undecided = (F.col(text) != "") & F.col(judged).isNull()
-    df = df.withColumn(odd, F.from_json(_judge_odd_text(F.when(undecided, F.col(text))), PARSED))
-    error = (
-        F.when(F.col(text).isNull(), "missing")
-        .when(F.col(text) == "", "empty")
-        .otherwise(F.coalesce(F.col(judged), F.col(f"{odd}.error")))
-    )
-    df = _with_parsed(df, target, error, F.coalesce(F.col(f"{odd}.turns"), turns))
-    return df.drop(text, document, judged, odd)
+    name = f"__{target}_text"
+    df = df.withColumn(name, stripped(F.col(column)))
+    text = F.col(name)
+    special = F.when(text.isNull(), "missing").when(text == "", "empty")
+    return _judged(df, target, _document(text), text, special).drop(name)
 
 
 def parse_conversation(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Add ``{target}_error`` and ``{target}_turns`` whatever the type of the conversation column."""
-    dtype = df.schema[column].dataType
+    """Add ``{target}_error`` and ``{target}_turns`` whatever the type of the conversation column.
+
+    Arrays of maps or of other structs and VARIANTs are judged turn by turn, as text is.
+    """
+    dtype, value = df.schema[column].dataType, F.col(column)
+    missing = F.when(value.isNull(), "missing")
     if isinstance(dtype, T.StringType):
         return _parse_text(df, column, target)
+    if isinstance(dtype, T.VariantType):
+        return _judged(df, target, value, F.to_json(value), missing)
     if isinstance(dtype, T.ArrayType):
         element = dtype.elementType
-        names = set(element.fieldNames()) if isinstance(element, T.StructType) else None
-        if names is not None and {"role", "content"} <= names:
-            return _with_parsed(df, target, *_parse_typed(F.col(column)))
-        first = "invalid_turn" if names is None else "missing_content" if "role" in names else "missing_role"
-        error = F.when(F.col(column).isNull(), "missing").when(F.size(column) == 0, "ok").otherwise(first)
-        return _with_parsed(df, target, error, F.array().cast(TURNS))
-    error = F.when(F.col(column).isNull(), "missing").otherwise("not_list")
-    return _with_parsed(df, target, error, F.lit(None).cast(TURNS))
+        if isinstance(element, T.StructType) and {"role", "content"} <= set(element.fieldNames()):
+            return _with_parsed(df, target, *_parse_typed(value))
+        if not isinstance(element, T.MapType) or isinstance(element.keyType, T.StringType):
+            document = F.to_variant_object(value)
+            return _judged(df, target, document, F.to_json(document), missing)
+        # Keys that are not text: no turn can have a role.
+        codes = F.transform(value, lambda turn: F.when(turn.isNull(), "invalid_turn").otherwise("missing_role"))
+        return _with_parsed(df, target, missing.otherwise(_first_code(codes)), F.array().cast(TURNS))
+    return _with_parsed(df, target, missing.otherwise("not_list"), F.lit(None).cast(TURNS))
 
 
 def texts_of(turns: Column, role: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairpref import skew
 from pairpref.fixtures import PROVENANCE, battles_raw
-from pairpref.functions.conversation import judge_text, parse_conversation
+from pairpref.functions.conversation import parse_conversation, plain_json
 from pairpref.functions.identity import canonical_json, label_seed
 from pairpref.functions.outcomes import anony_truth, canonical_outcome
 from pairpref.functions.text import WHITESPACE, trimmed
@@ -99,8 +99,9 @@ def test_conversation_text_codes(spark):
     found = parse_conversation(rows, "c", "p").orderBy("i").collect()
     assert [(text, r["p_error"]) for (text, _), r in zip(CASES, found)] == CASES
     for (text, error), row in zip(CASES, found):
-        turns = None if row["p_turns"] is None else [t.asDict() for t in row["p_turns"]]
-        assert turns == (judge_text(text.strip())[1] if error == "ok" else None)
+        turns = None if row["p_turns"] is None else [tuple(t) for t in row["p_turns"]]
+        read = json.loads(plain_json(text.strip())) if error == "ok" else []
+        assert turns == ([(t["role"].strip().lower(), t["content"]) for t in read] if error == "ok" else None)
 
 
 def test_non_text_members_print_as_in_python(spark):
@@ -121,6 +122,32 @@ def test_typed_conversations(spark):
     assert sorted(r["p_error"] for r in numbers.collect()) == ["invalid_turn", "ok"]
 
 
+def test_maps_variants_and_incomplete_structs(spark):
+    good = [{"role": "User ", "content": "x"}, {"role": "assistant", "content": "it's"}]
+    turns = [
+        (None, "missing"), ([], "ok"), ([None], "invalid_turn"), ([{"content": "x"}], "missing_role"),
+        ([{"role": None, "content": "x"}], "invalid_role"), ([{"role": "user"}], "missing_content"),
+        ([{"role": "user", "content": None}], "missing_content"), ([*good, {"role": "?"}], "invalid_role"), (good, "ok"),
+    ]
+    maps = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(turns)], "i int, c array<map<string,string>>")
+    variants = maps.selectExpr("i", "to_variant_object(c) c")
+    for rows in (maps, variants):
+        found = parse_conversation(rows, "c", "p").orderBy("i").collect()
+        assert [r["p_error"] for r in found] == [error for _, error in turns]
+        assert [tuple(t) for t in found[-1]["p_turns"]] == [("user", "x"), ("assistant", "it's")]
+    odd = spark.sql("""select i, parse_json(t) c from values (1, '{"role": "user"}'), (2, 'null'),
+      (3, '[{"role": "user", "content": 1}]'), (4, '[{"role": 7, "content": "x"}]'), (5, '[1]') as v(i, t)""")
+    found = parse_conversation(odd, "c", "p").orderBy("i").collect()
+    assert [r["p_error"] for r in found] == ["not_list", "not_list", "ok", "invalid_role", "invalid_turn"]
+    assert found[2]["p_turns"][0]["content"] == "1"
+    rows = spark.createDataFrame([(1, [("user",)]), (2, [None]), (3, [("?",)])], "i int, c array<struct<role:string>>")
+    found = [r["p_error"] for r in parse_conversation(rows, "c", "p").orderBy("i").collect()]
+    assert found == ["missing_content", "invalid_turn", "invalid_role"]
+    rows = spark.createDataFrame([(1, [{1: "user"}]), (2, [None]), (3, [])], "i int, c array<map<int,string>>")
+    found = [r["p_error"] for r in parse_conversation(rows, "c", "p").orderBy("i").collect()]
+    assert found == ["missing_role", "invalid_turn", "ok"]
+
+
 TIMES = [
     ("1700000000", "2023-11-14 22:13:20", "ok"),
     (" 1700000000.5 ", "2023-11-14 22:13:20", "ok"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pairpref.functions.conversation import judge_text
+from pairpref.functions.conversation import plain_json
 from pairpref.operators import bootstrap
 from pairpref.operators.classify import stratified_split
 from pairpref.operators.estimate import REQUIRED_COLUMNS, EstimationError, EstimatorConfig, fit
@@ -45,4 +45,4 @@ def test_empty_population(spark):
 
 
 def test_deep_nesting_is_a_parse_error():
-    assert judge_text("[" * 20_000) == ("parse_error", [])
+    assert plain_json("[" * 20_000) is None and plain_json("[" + "9" * 5_000 + "]") is None
