@@ -14,7 +14,7 @@ from pairpref.functions.identity import canonical_json, row_json
 from pairpref.functions.outcomes import canonical_outcome
 from pairpref.functions.text import trimmed
 from pairpref.functions.timestamps import read_time, time_error
-from pairpref.operators.canonical import VALIDITY_FLAGS, clean_arena, cleaning_report, row_index_report
+from pairpref.operators.canonical import VALIDITY_FLAGS, canonicalize, clean_arena, cleaning_report, row_index_report
 from pairpref.sources.files import read_parquet
 
 SNAPSHOT = canonical_json(asdict(PROVENANCE))
@@ -221,14 +221,16 @@ def record_valid(spark, sf):
     return canonical(spark, sf).select("source_row_index", "source_record_valid")
 
 
-@query("c18_canonical", CANONICAL + f"""
+_CANONICAL = CANONICAL + f"""
 select source_row_index, sha256(sha256('{SNAPSHOT}') || chr(31) || source_row_index) battle_id, 2 schema_version,
   question_id_raw, winner_raw, canonical_outcome, model_a_id, model_b_id, judge_cluster_id, language_canonical,
   prompt_text, md5(response_a_text) response_a_md5, md5(response_b_text) response_b_md5, anony anony_raw,
   anony_valid, anonymous_battle, judge_present, language_present, exact_duplicate, {", ".join(VALIDITY_FLAGS)},
-  source_record_valid from canon""")
-def canonical_battles(spark, sf):
-    return canonical(spark, sf).select(
+  source_record_valid from canon"""
+
+
+def _canonical_columns(battles):
+    return battles.select(
         "source_row_index", "battle_id", "schema_version", "question_id_raw", "winner_raw", "canonical_outcome",
         "model_a_id", "model_b_id", "judge_cluster_id", "language_canonical", "prompt_text",
         F.md5("response_a_text").alias("response_a_md5"), F.md5("response_b_text").alias("response_b_md5"),
@@ -237,6 +239,18 @@ def canonical_battles(spark, sf):
     )
 
 
+@query("c18_canonical", _CANONICAL)
+def canonical_battles(spark, sf):
+    return _canonical_columns(canonical(spark, sf))
+
+
+@query("c18_text", _CANONICAL)
+def canonical_battles_from_text(spark, sf):
+    """The same battles with conversations as JSON text, as they come from CSV files."""
+    as_text = {side: F.to_json(side) for side in ("conversation_a", "conversation_b")}
+    return _canonical_columns(canonicalize(battles_raw(spark, sf).withColumns(as_text), PROVENANCE))
+
+
 @query("c19_cleaned", CLEANED + """
 select source_row_index, winner, model_a, model_b, "language", strftime(tstamp, '%Y-%m-%d %H:%M:%S') tstamp,
   battle_month, prompt_len, len_diff, abs_len_diff from cleaned""")

@@ -73,8 +73,8 @@ base as (
          when sa > sb then 'model_a' else 'model_b' end winner,
     case when ok % 97 = 0 then null else ca.turns end conversation_a,
     case when ok % 89 = 0 then cb2.turns
-         else list_transform(ca.turns, lambda x: case when x.role = 'assistant'
-              then {'role': 'assistant', 'content': substr(x.content, 1, 40 + (ok % 50)::int)} else x end)
+         else list_transform(ca.turns, lambda x, i: case when x.role = 'assistant'
+              then {'role': 'assistant', 'content': x.content || coalesce(' ' || cb2.turns[i].content, '')} else x end)
          end conversation_b,
     case when ok % 101 = 0 then 'not-a-timestamp'
          else cast(cast(epoch(o_orderdate) as bigint) as varchar) end tstamp,

@@ -68,12 +68,15 @@ def battles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(side_a, "id_a", "left")
         .join(side_b, "id_b", "left")
     )
-    short = (F.lit(40) + F.col("ok") % 50).cast("int")
-    shortened = F.transform(
+    # Side B answers with the whole text of side A and, after it, what the next conversation has in that place.
+    longer = F.transform(
         "turns_a",
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             t["role"].alias("role"),
-            F.when(t["role"] == "assistant", F.substring(t["content"], F.lit(1), short))
+            F.when(
+                t["role"] == "assistant",
+                F.concat(t["content"], F.coalesce(F.concat(F.lit(" "), F.get("turns_b", i)["content"]), F.lit(""))),
+            )
             .otherwise(t["content"])
             .alias("content"),
         ),
@@ -94,7 +97,7 @@ def battles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("model_b")
         .alias("winner"),
         F.when(~_every(97), F.col("turns_a")).alias("conversation_a"),
-        F.when(_every(89), F.col("turns_b")).otherwise(shortened).alias("conversation_b"),
+        F.when(_every(89), F.col("turns_b")).otherwise(longer).alias("conversation_b"),
         F.when(_every(101), "not-a-timestamp")
         .otherwise(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "o_orderdate").cast("string"))
         .alias("tstamp"),
