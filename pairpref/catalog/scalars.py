@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 
 from pairpref.catalog import query
-from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, canonical
+from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, canonical, once, raw_table
 from pairpref.fixtures import PROVENANCE, battles_raw, table
 from pairpref.functions.conversation import parse_conversation, texts_of
 from pairpref.functions.identity import canonical_json, row_json
@@ -246,9 +246,10 @@ def canonical_battles(spark, sf):
 
 @query("c18_text", _CANONICAL)
 def canonical_battles_from_text(spark, sf):
-    """The same battles with conversations as JSON text, as they come from CSV files."""
+    """The same battles from a snapshot whose conversations are JSON text, as in CSV files."""
     as_text = {side: F.to_json(side) for side in ("conversation_a", "conversation_b")}
-    return _canonical_columns(canonicalize(battles_raw(spark, sf).withColumns(as_text), PROVENANCE))
+    snapshot = once(spark, sf, "raw_text", lambda: raw_table(spark, sf).withColumns(as_text))
+    return _canonical_columns(canonicalize(snapshot, PROVENANCE))
 
 
 @query("c19_cleaned", CLEANED + """
