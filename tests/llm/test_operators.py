@@ -360,3 +360,19 @@ def test_range_search_finds_dense_groups():
     true = unit @ unit.T >= 0.98
     found = sum(len(embedding_dedup.range_search(unit, lists, q, embedding_dedup.medoid(unit), 32, 0.98)) for q in range(len(unit)))
     assert found >= 0.95 * true.sum()
+
+
+def test_components_of_chains_stars_and_repeated_edges(spark):
+    from pairpref.llm.components import Forest, components
+
+    chain = [((i * 7) % 401, ((i + 1) * 7) % 401) for i in range(400)]
+    edges = chain + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (-3, 2000), (2000, -3), (-3, 2000)]
+    forest = Forest()
+    for u, v in edges:
+        forest.union(u, v)
+    expected = {(x, forest.root(x)) for pair in edges for x in pair if forest.root(x) != x}
+    table = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for edges_a_task in (50, 300, 200_000):
+        found = components(table, edges_a_task).collect()
+        assert len(found) == len(expected) and set(map(tuple, found)) == expected
+    assert components(table.limit(0), 50).count() == 0
