@@ -16,6 +16,8 @@ from pairpref.llm.catalog import table
 from pairpref.session import stored
 
 BLANK = r"^[\x20\x09-\x0D]*$"
+#: Near duplicates of the pipeline: word shingles and similarity in percent. (The op8 query has a contract of its own.)
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
