@@ -4,8 +4,11 @@ r"""Chat formatting with a grammar round trip.
     turn         = "### " role ": " body "</turn>" newline
 
 A body is free text in which control strings stand escaped: a header or an end mark preceded by k + 1
-backslashes reads back as the same string preceded by k. Each conversation is rendered as it is, reparsed by the
-deterministic parser and compared with its source; turns that do not come back identical are escaped, until all do.
+backslashes reads back as the same string preceded by k. The end mark of a turn is the first one that a newline and
+then a header or the end of the conversation follow; backslashes before it belong to the body as they are, so a text
+may end in any number of them. No escaped body holds such a mark, since headers in it stand behind a backslash. Each
+conversation is rendered as it is, reparsed by the deterministic parser and compared with its source; turns that do
+not come back identical are escaped, until all do.
 
 Null text and null role read as empty. Turns come in order of ``turn`` (nulls first), then role, then text, so
 equal turn numbers and repeated rows have one order. A conversation without rows does not exist; an empty table
@@ -28,7 +31,7 @@ END = "</turn>"
 CONTROL = r"### (?:[A-Z][a-z_]*|=[A-Za-z0-9_.~%-]*): |</turn>"
 FREE, GUARDED = re.compile(rf"(\\*)({CONTROL})"), re.compile(rf"\\(\\*(?:{CONTROL}))")
 HEADER = re.compile(r"### (?:([A-Z][a-z_]*)|=([A-Za-z0-9_.~%-]*)): ")
-STOP = re.compile(rf"(?<!\\)(?:{CONTROL})")
+STOP = re.compile(CONTROL)
 PLAIN_ROLE = re.compile(r"[a-z][a-z_]*")
 LEARNT = "assistant"
 RESULT = (
@@ -54,6 +57,11 @@ def render(turns: list[Turn], escaped: list[bool]) -> str:
     return "".join(f"{header(r)}{escape(t) if e else t}{END}\n" for (r, t), e in zip(turns, escaped))
 
 
+def ends_turn(text: str, mark: re.Match) -> bool:
+    after = mark.end() + 1
+    return mark[0] == END and text[mark.end() : after] == "\n" and (after == len(text) or HEADER.match(text, after) is not None)
+
+
 def parse(text: str) -> list[tuple[str, int, int]] | None:
     """(role, begin, end) of each body, or None where the text does not follow the grammar."""
     found, at = [], 0
@@ -61,8 +69,8 @@ def parse(text: str) -> list[tuple[str, int, int]] | None:
         head = HEADER.match(text, at)
         if head is None:
             return None
-        stop = STOP.search(text, head.end())
-        if stop is None or stop[0] != END or text[stop.end() : stop.end() + 1] != "\n":
+        stop = next((m for m in STOP.finditer(text, head.end()) if text[m.start() - 1] != "\\" or ends_turn(text, m)), None)
+        if stop is None or not ends_turn(text, stop):
             return None
         role = head[1].lower() if head[1] is not None else unquote(head[2])
         found.append((role, head.end(), stop.start()))

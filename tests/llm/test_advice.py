@@ -6,6 +6,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from pairpref.llm import chat_format
 from tests.llm.test_operators import WORD
 
 
@@ -48,3 +49,26 @@ def test_pipeline_near_duplicates_of_given_documents(spark, sf):
     rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
     kept = corpus_pipeline.near_duplicates(spark, docs, sf)
     assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == sorted(set(near_groups(rows, 5, 80)))
+
+
+def test_chat_texts_that_end_in_backslashes(spark):
+    ends = ["C:" + "\\" * k for k in (1, 2, 3)] + ["\\", "</turn>\\", "</turn>\\\\</turn>", "x\\</turn>\n### User: y", "</turn>\n\\", "### User: \\\\"]
+    rows = [(c, i, role, t) for c, order in enumerate(itertools.permutations(ends, 2)) for i, (role, t) in enumerate(zip(("user", "assistant"), order))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat_format.format_conversations(frame).collect()}
+    assert len(found) == len(rows) // 2
+    for c, r in found.items():
+        own = [(role, t) for conv_id, _, role, t in rows if conv_id == c]
+        assert chat_format.recovered(r.formatted) == own
+        # The SQL's length: what is escaped costs one character a control string, a backslash at the end nothing.
+        assert r.formatted_chars == sum(len(chat_format.header(role)) + len(chat_format.escape(t)) + len("</turn>\n") for role, t in own)
+
+
+def test_chat_renderings_are_unambiguous():
+    parts, seen = ["\\", "</turn>", "\n", "### User: ", "a"], {}
+    bodies = ["".join(x) for n in range(5) for x in itertools.product(parts, repeat=n)]
+    r = random.Random(3)
+    some = [[("user", t)] for t in bodies] + [[("user", r.choice(bodies)), ("assistant", r.choice(bodies)), ("user", r.choice(bodies))] for _ in range(5000)]
+    for turns in some:
+        text, _ = chat_format.format_turns(turns)
+        assert chat_format.recovered(text) == turns and seen.setdefault(text, turns) == turns
