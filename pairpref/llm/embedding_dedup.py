@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors of a label are one class first. Classes spread over shards around pivots that lie apart, each class in the
-shards of its two nearest pivots; shards still too large split again. In each shard every class gets neighbours by robust
+shards of its two nearest pivots; shards still too large split again, each for itself. A shard that pivots do not make
+smaller (a dense group) stays whole: its classes are dealt to pieces, and all its pairs are compared exactly, a task
+for every two pieces. In every other shard each class gets neighbours by robust
 pruning of its nearest and some random ones. The lists of a class are united over its shards, and a search runs for
 every class in each of its shards: greedy from the shard's medoid and the class's own list, then expanding whatever
 is in range. Links
@@ -29,6 +31,8 @@ from pairpref.session import stored
 
 COSINE = 0.98
 SHARD, PIVOTS, HOMES, APART, DEALT = 500, 256, 2, 0.9, 1000
+#: A split is taken back where a shard of it keeps more than this share; classes on a side of an exact block.
+SHRINK, PIECE = 0.8, 1000
 POOL, RANDOM, DEGREE, ALPHA, BEAM, STEP, SLACK = 48, 16, 20, 1.2, 16, 16, 0.04
 AUDIT, RECALL, TRIES = 256, 0.95, 3
 MEMBER = "shard long, rep long, n long, vector array<float>"
@@ -73,13 +77,14 @@ def spread(pivots: np.ndarray) -> np.ndarray:
 def _nearest_pivots(homes: int):
     def assign(rows: pa.Table, named: pa.Table) -> pa.Table:
         if not len(rows) or not len(named):
-            return rows.select(["shard", "rep", "n", "vector"])
+            return rows.select(["shard", "shard", "rep", "n", "vector"]).rename_columns(["parent", "shard", "rep", "n", "vector"])
         shard = named.column("shard")[0].as_py()
         centre = spread(_unit(pa.array(named.column("pivots")[0].as_py(), pa.list_(pa.float32()))))
         near = np.argsort(-(_unit(rows.column("vector")) @ centre.T), axis=1, kind="stable")[:, :homes]
         names = np.array([hash((shard, k)) for k in range(len(centre))], np.int64)
         taken = rows.take(pa.array(np.repeat(np.arange(len(rows)), near.shape[1])))
-        return pa.table({"shard": names[near.ravel()], **{c: taken.column(c) for c in ("rep", "n", "vector")}})
+        parent = np.full(len(taken), shard)
+        return pa.table({"parent": parent, "shard": names[near.ravel()], **{c: taken.column(c) for c in ("rep", "n", "vector")}})
 
     return assign
 
@@ -87,13 +92,12 @@ def _nearest_pivots(homes: int):
 def shards(found: DataFrame, homes: int) -> DataFrame:
     """MEMBER rows: each class in the shards of its nearest pivots, until no shard holds more than SHARD classes or cannot split."""
     members = stored(found.select(F.xxhash64("label", F.size("vector")).alias("shard"), "rep", "n", "vector"))
-    before = None
+    whole = stored(found.sparkSession.createDataFrame([], "shard long"))
     while True:
-        sizes = stored(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARD))
-        now = sizes.agg(F.sum("size"), F.max("size")).first()
-        if now[0] is None or (before is not None and now[1] >= before):
+        large = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARD)
+        sizes = stored(large.join(whole, "shard", "left_anti"))
+        if sizes.isEmpty():
             return members
-        before = now[1]
         order = Window.partitionBy("shard").orderBy(F.xxhash64("rep"), "rep")
         # Enough pivots for shards half full, copies included.
         wanted = F.least(F.lit(PIVOTS), F.ceil(2 * homes * F.col("size") / SHARD) + 1)
@@ -103,8 +107,13 @@ def shards(found: DataFrame, homes: int) -> DataFrame:
         pieces = F.ceil(F.col("size") / DEALT)
         rows = members.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("rep"), pieces)).drop("size")
         named = pivots.join(sizes, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("size")
-        split = rows.groupBy("shard", "piece").cogroup(named.groupBy("shard", "piece")).applyInArrow(_nearest_pivots(homes), MEMBER)
-        members = stored(split.unionByName(members.join(sizes, "shard", "left_anti")))
+        split = rows.groupBy("shard", "piece").cogroup(named.groupBy("shard", "piece")).applyInArrow(_nearest_pivots(homes), f"parent long, {MEMBER}")
+        split = stored(split)
+        most = split.groupBy("parent", "shard").count().groupBy(F.col("parent").alias("shard")).agg(F.max("count").alias("most"))
+        stuck = stored(most.join(sizes, "shard").where(F.col("most") > SHRINK * F.col("size")).select("shard"))
+        whole = stored(whole.union(stuck))
+        taken = split.join(stuck.select(F.col("shard").alias("parent")), "parent", "left_anti").drop("parent")
+        members = stored(taken.unionByName(members.join(sizes.join(stuck, "shard", "left_anti"), "shard", "left_anti")))
 
 
 def robust_pruned(unit: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -222,14 +231,64 @@ def range_search(unit: np.ndarray, lists: list[np.ndarray], q: int, start: int,
         close = np.concatenate([close, unit[new] @ unit[q]])
 
 
+def _block(cosine: float):
+    """All pairs between two pieces of a shard, or within one."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.take(pa.array(np.argsort(block.column("rep").to_numpy())))
+        name, reps, n, piece = block.column("shard")[0].as_py(), *(block.column(c).to_numpy() for c in ("rep", "n", "piece"))
+        one, two = np.flatnonzero(piece == block.column("a")[0].as_py()), np.flatnonzero(piece == block.column("b")[0].as_py())
+        within, unit = np.array_equal(one, two), _unit(block.column("vector"))
+        links, forest, label = np.zeros(len(reps), np.int64), Forest(), np.arange(len(reps))
+        earlier: dict = {}
+        for i, homes in enumerate(block.column("homes").to_pylist()):
+            for home in homes:
+                if home < name:
+                    earlier.setdefault(home, []).append(i)
+        elsewhere = np.zeros((len(one), len(two)), bool)
+        for both in earlier.values():
+            elsewhere[np.ix_(np.isin(one, both), np.isin(two, both))] = True
+        for at in range(0, len(one), 256):
+            rows = one[at : at + 256]
+            close = unit[rows] @ unit[two].T >= cosine
+            if within:
+                close[np.arange(len(rows)), at + np.arange(len(rows))] = False
+            for q, hits in zip(rows, close):
+                near = np.append(two[hits], q)
+                first, *others = np.unique(label[near]).tolist()
+                for x in others:
+                    forest.union(first, x)
+                label[near] = forest.root(first)
+            counts = close & ~elsewhere[at : at + 256]
+            links[rows] += counts @ n[two]
+            if not within:
+                links[two] += counts.T @ n[rows]
+        roots = np.array([reps[forest.root(x)] for x in label.tolist()], np.int64)
+        return pa.table({"rep": pa.array(reps), "links": pa.array(links), "root": pa.array(roots)})
+
+    return run
+
+
+def compared(members: DataFrame, cosine: float) -> DataFrame:
+    """(rep, links, root) of MEMBER rows with ``homes``: every pair of a shard, in blocks of at most two pieces."""
+    sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    dealt = members.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    blocks = dealt.select("shard", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), "piece", "rep", "n", "vector", "homes")
+    return blocks.groupBy("shard", "a", "b").applyInArrow(_block(cosine), "rep long, links long, root long")
+
+
 def searched(found: DataFrame, homes: int, beam: int, cosine: float) -> DataFrame:
     """(rep, links, root): per class and shard, links that count there and the smallest class linked there."""
     members = shards(found, homes)
-    lists = members.groupBy("shard").applyInArrow(_build, "rep long, out array<long>")
+    dense = stored(members.groupBy("shard").count().where(F.col("count") > SHARD).select("shard"))
+    small = members.join(dense, "shard", "left_anti")
+    lists = small.groupBy("shard").applyInArrow(_build, "rep long, out array<long>")
     united = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out")))
     at = members.groupBy("rep").agg(F.collect_set("shard").alias("homes"))
-    full = members.join(united.join(at, "rep"), "rep")
-    return stored(full.groupBy("shard").applyInArrow(_search(beam, cosine), "rep long, links long, root long"))
+    full = small.join(united.join(at, "rep"), "rep")
+    parts = full.groupBy("shard").applyInArrow(_search(beam, cosine), "rep long, links long, root long")
+    return stored(parts.union(compared(members.join(dense, "shard", "left_semi").join(at, "rep"), cosine)))
 
 
 def audit(found: DataFrame, links: DataFrame, cosine: float) -> float:

@@ -6,7 +6,8 @@ import itertools
 import random
 
 import corpus_pipeline
-from pairpref.llm import chat_format
+import numpy as np
+from pairpref.llm import chat_format, embedding_dedup
 from tests.llm.test_operators import WORD
 
 
@@ -72,3 +73,37 @@ def test_chat_renderings_are_unambiguous():
     for turns in some:
         text, _ = chat_format.format_turns(turns)
         assert chat_format.recovered(text) == turns and seen.setdefault(text, turns) == turns
+
+
+def brute(rows, cosine=0.98):
+    """(vec_id, links, smallest linked id) of (vec_id, vector, label) rows of one label."""
+    unit = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= cosine
+    low = np.arange(len(rows))
+    while not np.array_equal(low, now := np.where(close, low[None, :], len(rows)).min(1)):
+        low = now
+    return sorted((rows[i][0], int(close[i].sum()) - 1, rows[low[i]][0]) for i in range(len(rows)))
+
+
+def vectors_with_a_dense_group(dense, pairs):
+    r = np.random.default_rng(12)
+    centre, alone = r.normal(size=24), r.normal(size=(pairs, 24))
+    vectors = [centre + r.normal(size=24) * 0.05 for _ in range(dense)] + [v + r.normal(size=24) * 0.02 for v in alone for _ in range(2)]
+    return [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+
+
+VECTOR = "vec_id long, embedding array<float>, label int"
+
+
+def test_embeddings_of_a_dense_group(spark, monkeypatch):
+    """A group that pivots do not split stays in few shards and is compared in blocks of bounded size."""
+    for name, value in (("SHARD", 60), ("PIECE", 50)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = vectors_with_a_dense_group(300, 100)
+    frame = spark.createDataFrame(rows, VECTOR)
+    homes = embedding_dedup.shards(embedding_dedup.classes(frame)[1], 2).groupBy("rep").count()
+    dense = homes.where("rep < 300").agg({"count": "avg"}).first()[0]
+    assert dense <= 4, dense
+    found = embedding_dedup.near_duplicates(frame).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == brute(rows)
