@@ -10,8 +10,9 @@ is in range. Links
 are verified by cosine in double precision. A pair that meets in two shards counts in the first of them, so links are
 counted without a pair ever becoming a row; components come from star edges to local roots.
 
-A sample of classes (``AUDIT``, chosen by hash) is compared with all vectors; where less than ``RECALL`` of their
-links were found, the whole is searched again with more shards per class and a wider beam, at most ``TRIES`` times.
+A sample of classes (``AUDIT``, chosen by hash) is compared with all vectors. Where less than ``RECALL`` of their
+links were found, all together or as the mean over the classes that have any, the whole is searched again with more
+shards per class and a wider beam, at most ``TRIES`` times; after that all pairs of a label are compared in exact blocks.
 
 Null vectors, null labels, null or non-finite components and zero vectors link with nothing; so do vectors of
 different length. Repeated rows are links of one another. Rows come back one for one; null ids link but name nothing.
@@ -292,7 +293,10 @@ def searched(found: DataFrame, homes: int, beam: int, cosine: float) -> DataFram
 
 
 def audit(found: DataFrame, links: DataFrame, cosine: float) -> float:
-    """Share of the sampled classes' true links (to all classes, by brute force in blocks) that were found."""
+    """Share of the sampled classes' true links (to all classes, by brute force in blocks) that were found.
+
+    The lesser of the share of all links and the mean share of the classes, so that neither large nor small groups hide a loss.
+    """
     sample = found.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT).select("rep", "label", "vector")
     chosen = sample.collect()
     if not chosen:
@@ -316,16 +320,21 @@ def audit(found: DataFrame, links: DataFrame, cosine: float) -> float:
 
     true = found.select("label", "n", "vector").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
     own = found.select("rep", "n")
-    both = true.join(own, "rep").join(links, "rep", "left").agg(F.sum(F.col("true") - F.col("n")), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    both = true.join(own, "rep").join(links, "rep", "left").select((F.col("true") - F.col("n")).alias("true"), F.coalesce("links", F.lit(0)).alias("links"))
+    pooled, mean = both.where(F.col("true") > 0).agg(F.sum("links") / F.sum("true"), F.avg(F.col("links") / F.col("true"))).first()
+    return 1.0 if pooled is None else min(pooled, mean)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): n_links, component_id, kept and the audited recall."""
     keyed, same = classes(vectors)
     keyed, found = stored(keyed.drop("embedding", "label")), stored(same)
-    for attempt in range(TRIES):
-        parts = searched(found, HOMES + attempt, BEAM << attempt, cosine)
+    for attempt in range(TRIES + 1):
+        if attempt < TRIES:
+            parts = searched(found, HOMES + attempt, BEAM << attempt, cosine)
+        else:
+            label = F.xxhash64("label", F.size("vector"))
+            parts = stored(compared(found.select(label.alias("shard"), "rep", "n", "vector", F.array(label).alias("homes")), cosine))
         links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
         recall = audit(found, links, cosine)
         if recall >= RECALL:

@@ -107,3 +107,21 @@ def test_embeddings_of_a_dense_group(spark, monkeypatch):
     assert dense <= 4, dense
     found = embedding_dedup.near_duplicates(frame).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == brute(rows)
+
+
+def test_embedding_audit_sees_small_groups(spark):
+    rows = vectors_with_a_dense_group(60, 60)
+    found = embedding_dedup.classes(spark.createDataFrame(rows, VECTOR))[1]
+    true = brute(rows)
+    links = lambda keep: spark.createDataFrame([(i, n if i < keep else 0) for i, n, _ in true], "rep long, links long")
+    assert embedding_dedup.audit(found, links(len(rows)), 0.98) == 1.0
+    assert embedding_dedup.audit(found, links(60), 0.98) < embedding_dedup.RECALL
+
+
+def test_embedding_search_that_fails_is_replaced_by_exact_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIECE", 50)
+    lossy = lambda found, *_: found.selectExpr("rep", "0L as links", "rep as root")
+    monkeypatch.setattr(embedding_dedup, "searched", lossy)
+    rows = vectors_with_a_dense_group(80, 40)
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == brute(rows) and {x.audit_recall for x in found} == {1.0}
