@@ -5,7 +5,7 @@ shards by hash; in a shard, pieces go longest first into the sequence with the l
 found by a segment tree over room. Each packed sequence is a row: the padded id row of the matrix, cumulative segment
 lengths and position ids that restart at every segment. ``write`` lays the rows down as Parquet.
 
-The number of shards follows the corpus, so a shard's ids stay bounded; a shard is rebuilt from its documents alone.
+The number of shards follows the characters of the corpus alone, so a shard's ids stay bounded; a shard is rebuilt from its documents alone.
 Null or empty text has no tokens and no segment. Equal rows are packed as often as they occur. Order among equals:
 doc_id (null first), text fingerprint, piece. An empty table gives no sequences. Extra columns are ignored.
 """
@@ -136,8 +136,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
         raise ValueError("a positive length and at most 65,536 tokens are supported")
     small_batches(docs.sparkSession)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(partitions if chars > SHARD_CHARS else 1, -(-chars // SHARD_CHARS))
+    shards = max(1, -(-chars // SHARD_CHARS))
     fingerprint = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", fingerprint), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"),

@@ -7,7 +7,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from pairpref.llm import chat_format, embedding_dedup
+from pairpref.llm import byte_bpe, chat_format, embedding_dedup, packing
 from tests.llm.test_operators import WORD
 
 
@@ -125,3 +125,16 @@ def test_embedding_search_that_fails_is_replaced_by_exact_blocks(spark, monkeypa
     rows = vectors_with_a_dense_group(80, 40)
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == brute(rows) and {x.audit_recall for x in found} == {1.0}
+
+
+def test_packing_does_not_depend_on_the_session(spark, sf, monkeypatch):
+    """Slightly more characters than a shard holds make two shards, whatever the number of shuffle partitions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    chars = docs.selectExpr("sum(length(text))").first()[0]
+    monkeypatch.setattr(packing, "SHARD_CHARS", chars - 1)
+    rows, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (3, 20):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        rows.append(sorted((r.shard, r.sequence, r.doc_ids, r.pieces) for r in packing.pack(docs, *byte_bpe.tokenizer()).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {0, 1}
