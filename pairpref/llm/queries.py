@@ -9,6 +9,7 @@ from pairpref.llm import (  # noqa: F401
     packing,
     quality_rules,
     source_mixing,
+    spelling,
     substring_dedup,
     url_filter,
 )
