@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table of at most this many rows is small enough to broadcast: callers count before they hint.
 BROADCAST_ROWS = 2_000_000
+#: The folder in which stored() writes just now; unset: the checkpoint folder.
+FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pairpref") -> SparkSession:
@@ -52,19 +57,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Like :func:`cut`, but later steps still read only the columns and row groups they need. For wide tables
-    with many readers, such as canonical battles.
+    with many readers, such as canonical battles. ``options`` are the writer's.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    path = f"{FOLDER.get() or spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def table_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables stored within lie in one new folder, which is left in place."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{FOLDER.get() or spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    token = FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        FOLDER.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Working tables of one operator: what is stored within is deleted at the end, but for results passed to the
+    function it yields, which stores them outside. Nothing else that reads the working tables may leave."""
+    outside = FOLDER.get()
+
+    def keep(df: DataFrame) -> DataFrame:
+        token = FOLDER.set(outside)
+        try:
+            return stored(df)
+        finally:
+            FOLDER.reset(token)
+
+    with table_folder(spark) as folder:
+        try:
+            yield keep
+        finally:
+            remove(spark, folder)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; beyond the bound the join shuffles as usual.
 
