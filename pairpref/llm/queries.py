@@ -7,10 +7,12 @@ from pairpref.llm import (  # noqa: F401
     jaccard_join,
     line_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     source_mixing,
     spelling,
     substring_dedup,
     url_filter,
+    warc,
 )
 from pairpref.llm.catalog import EQUIVALENT_SQL, QUERIES  # noqa: F401

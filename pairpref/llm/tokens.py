@@ -6,6 +6,9 @@ them is hashed as a Rabin-Karp polynomial modulo 2**64 over well-mixed element f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,9 +67,9 @@ def fingerprints(parts: pa.Array) -> np.ndarray:
     if len(parts) == 0:
         return np.empty(0, np.uint64)
     coded = parts.dictionary_encode()
-    distinct = np.fromiter(
-        (xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
-    )
+    known = coded.dictionary
+    slices = (known.slice(at, 20_000).to_pylist() for at in range(0, len(known), 20_000))
+    distinct = np.fromiter((xxhash.xxh3_64_intdigest(x) for some in slices for x in some), np.uint64, len(known))
     return distinct[coded.indices.to_numpy()]
 
 
@@ -104,3 +107,16 @@ def small_batches(spark) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+@contextmanager
+def few_rows_a_batch(spark) -> Iterator[None]:
+    """Within it, Python tasks that run take at most BATCH_ROWS rows at once; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
