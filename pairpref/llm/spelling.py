@@ -39,7 +39,7 @@ COLUMN[LETTERS] = np.arange(len(LETTERS))
 GROUPS = 5
 FREE = list(combinations(range(GROUPS), 2))
 #: Words of one Gram matrix, of a piece of a large block, and rows of a task.
-TILE, PIECE, UNIT_ROWS = 512, 2_000, 100_000
+TILE, PIECE, UNIT_ROWS = 384, 2_000, 100_000
 #: Longer words are verified one pair at a time, so no matrix is wider.
 WIDE = 64
 MIN_LENGTH, MIN_COUNT, FACTOR, DELETED_OF = 5, 3, 2, 97
@@ -90,15 +90,25 @@ def letter_counts(offsets: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.bincount(place, minlength=words * len(LETTERS)).reshape(words, -1)
 
 
-def _keys(group: np.ndarray) -> Callable:
-    weight, choice = np.split(mixed(np.arange(1, len(LETTERS) + len(FREE) + 1, dtype=np.uint64)), [len(LETTERS)])
+WEIGHT, CHOICE = np.split(mixed(np.arange(1, len(LETTERS) + len(FREE) + 1, dtype=np.uint64)), [len(LETTERS)])
+
+
+def group_sums(offsets: np.ndarray, letters: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each word and group of letters a 64-bit name of how often each letter of the group occurs."""
+    weight, of = WEIGHT[COLUMN[letters]], group[COLUMN[letters]]
+    out = np.empty((len(offsets) - 1, GROUPS), np.uint64)
+    for g in range(GROUPS):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(of == g, weight, np.uint64(0)), dtype=np.uint64)])[offsets]
+        out[:, g] = sums[1:] - sums[:-1]
+    return out
+
 
+def _keys(group: np.ndarray) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = letter_counts(*latin(batch.column("word"))).astype(np.uint64)
-            sums = [(counts * (weight * (group == g))).sum(1, dtype=np.uint64) for g in range(GROUPS)]
+            sums = group_sums(*latin(batch.column("word")), group)
             for s, free in enumerate(FREE):
-                key = mixed(sum(sums[g] for g in range(GROUPS) if g not in free) + choice[s])
+                key = mixed(sums[:, [g for g in range(GROUPS) if g not in free]].sum(1, dtype=np.uint64) + CHOICE[s])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(np.full(len(key), s, np.int32)), batch.column("word"), batch.column("n")],
                     ["key", "free", "word", "n"],
@@ -167,7 +177,6 @@ def tiles(edges: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _near(group: np.ndarray) -> Callable:
-    member = np.eye(GROUPS)[group]
     first = np.full(1 << GROUPS, -1)  # of the groups in which a pair differs: the first choice that frees them
     for s, free in reversed(list(enumerate(FREE))):
         for sub in ([], free[:1], free[1:], free):
@@ -193,12 +202,8 @@ def _near(group: np.ndarray) -> Callable:
                     keep = same & ((words.length[x] < words.length[y]) | (x < y))
                     found.append(np.stack([x[keep], y[keep]]))
         a, b = np.concatenate(found, axis=1)
-        sure = []
-        for begin in range(0, len(a), 100_000):
-            x, y = a[begin : begin + 100_000], b[begin : begin + 100_000]
-            differ = ((words.counts[x] != words.counts[y]) @ member > 0) @ (1 << np.arange(GROUPS))
-            sure.append(first[differ] == free[x])
-        keep = np.concatenate(sure) if sure else np.empty(0, bool)
+        sums = group_sums(words.offsets, words.letters, group)
+        keep = first[(sums[a] != sums[b]) @ (1 << np.arange(GROUPS))] == free[a]
         a, b = a[keep], b[keep]
         keep = words.verified(a, b)
         a, b = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
