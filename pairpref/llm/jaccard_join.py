@@ -36,10 +36,12 @@ from pairpref.llm.catalog import query, table
 from pairpref.llm.components import Forest, components
 from pairpref.llm.tokens import as_texts, fingerprints, mixed, ranges, rolling, small_batches, words_of
 from pairpref.llm.windows import BUCKET_CHARS, NO_ID, pieces
-from pairpref.session import broadcast_if_small, stored
+from pairpref.session import broadcast_if_small, scratch, stored
 
 WIDTH, PERCENT = 4, 85
 TILE, MU = 500_000, 0.01
+#: Bytes of text whose sets are made at once, of a row group and of a page of the table that keeps them.
+SET_BYTES, ROW_GROUP, PAGE = 1_000_000, 8 << 20, 1 << 18
 #: A shingle in more sets than this is frequent.
 RARE, DEMOTED = 8, 1 << 20
 ENTRY = np.dtype([("shingle", "<u8"), ("name", "<i8"), ("n", "<i4")])
@@ -81,14 +83,20 @@ def set_names(offsets: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return mixed(np.diff(sums) + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def parity_bits(offsets: np.ndarray, shingles: np.ndarray) -> list[bytes]:
+def binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that are the bytes of ``data`` between two offsets, without a copy for each."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def parity_bits(offsets: np.ndarray, shingles: np.ndarray) -> pa.Array:
     """A bitmap of each set: bit h is the parity of its shingles that fall there; a power of two of at least n bits."""
-    out, scrambled = [], mixed(shingles ^ THIRD)
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        width = max(128, 1 << int(b - a - 1).bit_length()) if b > a else 128
-        odd = np.bincount((scrambled[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-    return out
+    n = np.diff(offsets)
+    width = np.maximum(128, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    place = (mixed(shingles ^ THIRD) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(begin[:-1], n)
+    odd = np.zeros(begin[-1], np.uint8)
+    np.bitwise_xor.at(odd, place, 1)
+    return binaries(begin // 8, np.packbits(odd))
 
 
 def bits_apart(a: bytes, b: bytes) -> int:
@@ -101,10 +109,9 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 def _sizes(width: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole)):
+        for batch in (piece for whole in batches for piece in pieces(whole, SET_BYTES)):
             offsets, shingles = shingle_sets(as_texts(batch.column("text")), width)
-            sets = [shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            made = [pa.array(np.diff(offsets)), pa.array(set_names(offsets, shingles)), pa.array(parity_bits(offsets, shingles), pa.binary()), pa.array(sets, pa.binary())]
+            made = [pa.array(np.diff(offsets)), pa.array(set_names(offsets, shingles)), parity_bits(offsets, shingles), binaries(8 * offsets, shingles)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_key"), batch.column("print"), *made], ["doc_key", "print", "n_shingles", "name", "bits", "shingles"]
             )
@@ -349,11 +356,20 @@ def document_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_key, print, doc_id, n_shingles, component_id, and whether it is its group's first."""
+    """Per row of ``docs`` (doc_id, text): doc_key, print, doc_id, n_shingles, component_id, and whether it is its group's first.
+
+    Sets, blocks and rounds of components are working tables: only the rows of the result stay stored.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_linked(docs, width, percent))
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(*document_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
-    sets = stored(keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary"))
+    made = keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary")
+    sets = stored(made, **{"parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.enable.dictionary": "false"})
     chars = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
     share = spark.sparkContext.broadcast

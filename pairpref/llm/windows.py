@@ -36,14 +36,14 @@ def document_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Pieces of whole texts of about BATCH_CHARS bytes; one very long text is a piece of its own."""
+def pieces(batch: pa.RecordBatch, size: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Pieces of whole texts of about ``size`` bytes; one very long text is a piece of its own."""
     texts = as_texts(batch.column("text"))
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
     begin = 0
     while begin < len(ends):
         before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + BATCH_CHARS, "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
@@ -175,7 +175,7 @@ def with_removed(docs: DataFrame, unit: str, width: int) -> DataFrame:
         keyed.select(F.col("__doc_key").alias("doc_key"), F.col("__print").alias("print"), "text"), unit, width
     )
     cuts = found.groupBy(F.col("doc_key").alias("__doc_key"), F.col("print").alias("__print")).agg(
-        F.collect_list(F.struct("first", "last")).alias("__cuts")
+        F.collect_set(F.struct("first", "last")).alias("__cuts")  # equal rows have the same cuts
     )
     return keyed.join(cuts, ["__doc_key", "__print"], "left").drop("__doc_key", "__print")
 
