@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors of a label are one class first. Classes spread over shards around pivots that lie apart, each class in the
-shards of its two nearest pivots; shards still too large split again, each for itself. A shard that pivots do not make
+shards of its three nearest pivots; shards still too large split again, each for itself. A shard that pivots do not make
 smaller (a dense group) stays whole: its classes are dealt to pieces, and all its pairs are compared exactly, a task
 for every two pieces. In every other shard each class gets neighbours by robust
 pruning of its nearest and some random ones. The lists of a class are united over its shards, and a search runs for
@@ -31,7 +31,7 @@ from pairpref.llm.components import Forest, components
 from pairpref.session import stored
 
 COSINE = 0.98
-SHARD, PIVOTS, HOMES, APART, DEALT = 500, 256, 2, 0.9, 1000
+SHARD, PIVOTS, HOMES, APART, DEALT = 500, 256, 3, 0.9, 1000
 #: A split is taken back where a shard of it keeps more than this share; classes on a side of an exact block.
 SHRINK, PIECE = 0.8, 1000
 POOL, RANDOM, DEGREE, ALPHA, BEAM, STEP, SLACK = 48, 16, 20, 1.2, 16, 16, 0.04
