@@ -213,8 +213,8 @@ SQL_TYPES = {
 }
 
 
-def encode(docs: DataFrame, path: str, pattern: str, want: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
-    """``docs`` with ``encoded``: a struct of the fields of SQL_TYPES that ``want`` names, from the column ``text``."""
+def encode(docs: DataFrame, path: str, pattern: str, want: tuple[str, ...] = ("n_tokens", "ids"), result: str = "encoded") -> DataFrame:
+    """``docs`` with ``result`` (a name they do not have): a struct of the fields of SQL_TYPES that ``want`` names, from the column ``text``."""
     from pyspark.sql import functions as F
 
     small_batches(docs.sparkSession)
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, want: tuple[str, ...] = ("n
         schema = schema.withColumn(name, F.lit(None).cast(SQL_TYPES[name]))
     done = rows.mapInArrow(_encode(shared, pattern, want), schema.schema)
     back = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns]
-    return done.select(*back, F.struct(*want).alias("encoded"))
+    return done.select(*back, F.struct(*[F.col(w) for w in want]).alias(result))
 
 
 def tokenizer() -> tuple[str, str]:

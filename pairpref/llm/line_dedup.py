@@ -22,8 +22,8 @@ from pairpref.llm.windows import covered, with_removed
 WIDTH = 3
 
 
-def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``text`` without later windows, plus ``__n_lines`` and ``__n_removed`` (long)."""
+def remove_lines(docs: DataFrame, width: int = WIDTH, result: str = "lines") -> DataFrame:
+    """``docs`` with ``text`` without later windows, and ``result`` (a name they do not have): struct of n_lines and n_removed."""
     columns = docs.columns
     rows = docs.select(
         F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")], F.lit(0)).alias("__rest")
@@ -47,7 +47,8 @@ def remove_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     done = marked.mapInArrow(apply, schema)
     rest = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c).alias(c)
-    return done.select(*[rest(c) for c in columns], "__n_lines", "__n_removed")
+    counts = F.struct(F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+    return done.select(*[rest(c) for c in columns], counts.alias(result))
 
 
 SQL = r"""
@@ -77,6 +78,5 @@ from documents d left join per_doc p on p.doc_id = d.doc_id
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairpref.llm.catalog import query, table
+from pairpref.llm.catalog import free_name, query, table
 from pairpref.session import broadcast_if_small, stored
 
 SPACE = r"[\\x20\\x09-\\x0D]"
@@ -178,11 +178,14 @@ def _groups(stats: DataFrame) -> DataFrame:
     return sized.select("lang", "source", group.alias("group"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with BASE, base_failed, ``distance`` (squared, scaled) and ``kept``."""
-    columns = docs.columns
+def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` with BASE, base_failed, ``distance`` (squared, scaled) and ``kept``, in place of columns of these names;
+    without ``keep_text`` no text is stored or returned."""
+    made = {*BASE, "base_failed", "distance", "kept"}
+    columns = [c for c in docs.columns if (keep_text or c != "text") and c.lower() not in made]
     rest = F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("text", "lang", "source")], F.lit(0).alias("__row")).alias("__rest")
-    stats = stored(base_statistics(docs.select("text", "lang", "source", rest)).select("*", *statistics()))
+    counted = base_statistics(docs.select("text", "lang", "source", rest)).select("*", *statistics())
+    stats = stored(counted if keep_text else counted.drop("text"))
     groups = stored(_groups(stats))
     named = stats.alias("s").join(
         broadcast_if_small(groups).alias("g"),
@@ -198,6 +201,17 @@ def judge(docs: DataFrame) -> DataFrame:
     return measured.select(*back, *BASE, "base_failed", distance.alias("distance"), kept.alias("kept"))
 
 
+def keep_kept(docs: DataFrame) -> DataFrame:
+    """``docs`` without what the rules reject. A verdict depends on text, language and source alone, so only two hashes
+    of these are stored of rejected documents, and texts are shuffled only where those are too many to broadcast."""
+    parts = [F.col(c) for c in ("text", "lang", "source")] + [F.isnull(c) for c in ("text", "lang", "source")]
+    one, two = (free_name(name, docs.columns) for name in ("one", "two"))
+    keys = {one: F.xxhash64(*parts), two: F.xxhash64(F.lit(1), *parts)}
+    keyed = docs.withColumns(keys)
+    bad = stored(judge(keyed.select("text", "lang", "source", *keys), False).where("not kept").select(*keys).distinct())
+    return keyed.join(broadcast_if_small(bad), list(keys), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _members(named: DataFrame) -> DataFrame:
     """Rows each estimate is fitted to: its own documents, and for a language or all, every good document there."""
     good = named.where(~F.col("base_failed") & F.col("group").isNotNull())
@@ -215,4 +229,4 @@ def _members(named: DataFrame) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", *BASE, "base_failed", "kept", "distance")
+    return judge(docs, False).select("doc_id", *BASE, "base_failed", "kept", "distance")

@@ -161,16 +161,16 @@ def _filled(sized: DataFrame, state: DataFrame) -> dict:
     return {r["__key"]: (r["b"]["__hash"], r["b"]["words"]) for r in best.where("b.off < abs(b.need)").collect()}
 
 
-def mix(docs: DataFrame, members: Column, size: Column, order_by: Sequence[Column], weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``mix``: struct of size, source_size and target (maps by source), times (whole uses) and taken."""
+def mix(docs: DataFrame, members: Column, size: Column, order_by: Sequence[Column], weights: Sequence[float] = WEIGHTS, seed: int = SEED, result: str = "mix") -> DataFrame:
+    """``docs`` with ``result`` (a name they do not have): struct of size, source_size and target (maps by source), times (whole uses) and taken."""
     spark = docs.sparkSession
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("__row")).alias("__rest"), members.alias("__members"), size.alias("__size"), F.pmod(F.xxhash64(*order_by, size, F.lit(seed)), F.lit(2**HASH_BITS)).alias("__hash"))
     key = F.to_json(F.struct(F.transform("__members", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit(""))).alias("m")))
-    return _mixed(spark, packed.withColumn("__key", key), columns, weights)
+    return _mixed(spark, packed.withColumn("__key", key), columns, weights, result)
 
 
-def _mixed(spark: SparkSession, packed: DataFrame, columns: list[str], weights: Sequence[float]) -> DataFrame:
+def _mixed(spark: SparkSession, packed: DataFrame, columns: list[str], weights: Sequence[float], result: str) -> DataFrame:
     sized = stored(packed)
     narrow = sized.select("__key", "__hash", "__size")
     found = sized.groupBy("__key").agg(F.first("__members").alias("m"), F.sum("__size").alias("n")).limit(MAX_PATTERNS + 1).collect()
@@ -212,12 +212,12 @@ def _mixed(spark: SparkSession, packed: DataFrame, columns: list[str], weights:
     mixed = F.struct(
         F.col("__size").alias("size"), "source_size", "target", F.col("__times").alias("times"), (F.col("__times") * F.col("__size")).alias("taken")
     )
-    return done.select(*[F.col("__rest").getField(c).alias(c) for c in columns], mixed.alias("mix"))
+    return done.select(*[F.col("__rest").getField(c).alias(c) for c in columns], mixed.alias(result))
 
 
-def mix_by_source(docs: DataFrame) -> DataFrame:
-    """``mix`` of documents that each belong to the one source they name (null is a source of its own)."""
-    return mix(docs, F.array("source"), word_count(F.col("text")), [F.col("doc_id")])
+def mix_by_source(docs: DataFrame, result: str = "mix") -> DataFrame:
+    """:func:`mix` of documents that each belong to the one source they name (null is a source of its own)."""
+    return mix(docs, F.array("source"), word_count(F.col("text")), [F.col("doc_id")], result=result)
 
 
 @query("op5_source_mixing")

@@ -48,6 +48,10 @@ class Label:
     paths: Segment | None = None
 
 
+#: Hosts are lowered as those of urls are: A-Z only.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def build(rules: Sequence[tuple[str, str, str]]) -> Label:
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} may be broadcast")
@@ -56,7 +60,7 @@ def build(rules: Sequence[tuple[str, str, str]]) -> Label:
         if verdict not in ("allow", "block"):
             raise ValueError(f"unknown verdict {verdict!r}")
         at = root
-        for label in reversed(host.lower().split(".")):
+        for label in reversed(host.translate(LOWER).split(".")):
             at = at.below.setdefault(label, Label())
         at.paths = at.paths or Segment()
         node = at.paths
@@ -102,8 +106,10 @@ def judge(root: Label, host: str, path: str) -> tuple[str, str] | None:
     return found
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT) -> DataFrame:
-    """``pages`` with ``judged``: struct of host, path, rule (null where none fits) and verdict, from its url."""
+def filter_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT, result: str = "judged"
+) -> DataFrame:
+    """``pages`` with a column ``result`` in place of any of that name: struct of host, path, rule (null where none fits) and verdict, from its url."""
     trie = pages.sparkSession.sparkContext.broadcast(build(rules))
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
@@ -117,7 +123,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
                 rows.append((host, path, rule, verdict))
             yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
 
-    return pages.withColumn("judged", judged("url"))
+    return pages.withColumn(result, judged("url"))
 
 
 SQL = r"""
