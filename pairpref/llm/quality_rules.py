@@ -5,8 +5,10 @@ repeated lines and words in repeated three-word windows. From these come five tr
 integers (1/1000), so that every sum below is exact and reruns agree whatever the partitioning.
 
 For each (language, source) the minimum covariance determinant is estimated from the documents that pass the
-simple limits: it starts from medians and median deviations, and each concentration step takes the 75 % of documents
-with the smallest distances and their mean and covariance. Covariances carry a small floor on their diagonal
+simple limits. It has several starts, medians with median deviations and the moments of seeded random parts; each
+concentration step takes the 75 % of documents with the smallest distances and their mean and covariance, until no
+determinant changes (at most ``STEPS`` times), and the start of least determinant counts. Distances are cut by
+bins of 1/64 octave, so all documents of the last bin enter. Covariances carry a small floor on their diagonal
 (``FLOOR``), since most documents have no repeated line at all. Distances are scaled so that their median is that
 of a chi-square. A document farther than ``LIMIT`` (squared) is rejected. Groups of fewer than ``LEAST`` such documents use the
 estimate of their language, and if that is small too, of all documents; fewer than ``LEAST`` in all: nothing is rejected.
@@ -27,7 +29,9 @@ SPACE = r"[\\x20\\x09-\\x0D]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SCALE = 1000
-LEAST, STEPS, KEPT_SHARE = 60, 3, 0.75
+LEAST, STEPS, KEPT_SHARE = 60, 8, 0.75
+#: Seeded random starts besides the medians; each is fitted to one document in PART.
+RANDOM_STARTS, PART = 1, 4
 #: Standard deviation, in units of each statistic, that is added to what a group shows.
 FLOOR = (0.10, 0.05, 0.02, 0.10, 0.10)
 #: Median of the chi-square with five degrees of freedom, and the squared distance beyond which a document goes.
@@ -149,16 +153,39 @@ def _nearest(binned: DataFrame) -> DataFrame:
     return binned.groupBy("group").agg(F.expr(f"percentile(bin, array(0.5, {KEPT_SHARE}))").alias("at"))
 
 
+def _random_start(good: DataFrame, seed: int) -> DataFrame:
+    """Moments of a random part of each group: one document in PART, by a hash of its statistics."""
+    return _moments(good.where(F.pmod(F.xxhash64(F.lit(seed), "group", *X), F.lit(PART)) == 0))
+
+
+def _determinants(factor: DataFrame) -> DataFrame:
+    """(group, det): logarithm of the determinant, twice the sum of those of the Cholesky factor's diagonal."""
+    return factor.select("group", sum((2 * F.log(f"l{i}{i}") for i in DIMENSIONS), F.lit(0.0)).alias("det"))
+
+
 def estimates(good: DataFrame) -> DataFrame:
-    """(group, m*, l*, scale) by concentration steps; ``good``: group and X of documents that pass the limits."""
-    factor = stored(_factor(_start(good)))
+    """(group, m*, l*, scale) by concentration steps from every start; ``good``: group and X of documents that pass the limits."""
+    starts = [_start(good), *[_random_start(good, seed) for seed in range(1, RANDOM_STARTS + 1)]]
+    named = [start.withColumn("group", F.concat("group", F.lit(f"#{k}"))) for k, start in enumerate(starts)]
+    union = named[0]
+    for more in named[1:]:
+        union = union.unionByName(more)
+    every = F.explode(F.array(*[F.concat("group", F.lit(f"#{k}")) for k in range(len(starts))])).alias("group")
+    rows = good.select(every, *X)
+    factor = stored(_factor(union))
     for _ in range(STEPS):
-        measured = _binned(good, factor)
+        measured = _binned(rows, factor)
         cut = stored(_nearest(measured))
         near = measured.join(broadcast_if_small(cut), "group").where(F.col("bin") <= F.col("at")[1])
-        factor = stored(_factor(_moments(near)))
-    middle = _nearest(_binned(good, factor)).select("group", (F.pow(2.0, F.col("at")[0] / 64) / SCALE / MEDIAN).alias("scale"))
-    return factor.join(middle, "group")
+        before, factor = factor, stored(_factor(_moments(near)))
+        moved = _determinants(factor).join(_determinants(before).withColumnRenamed("det", "old"), "group")
+        if moved.where(F.abs(F.col("det") - F.col("old")) > 1e-9).isEmpty():
+            break
+    least = _determinants(factor).groupBy(F.substring_index("group", "#", -1).alias("start"), F.regexp_replace("group", "#[0-9]+$", "").alias("own")).agg(F.first("det").alias("det"))
+    best = least.groupBy("own").agg(F.min(F.struct("det", "start")).alias("b")).select(F.concat("own", F.lit("#"), "b.start").alias("group"), "own")
+    chosen = stored(factor.join(best, "group").drop("group").withColumnRenamed("own", "group"))
+    middle = _nearest(_binned(good, chosen)).select("group", (F.pow(2.0, F.col("at")[0] / 64) / SCALE / MEDIAN).alias("scale"))
+    return chosen.join(middle, "group")
 
 
 def _groups(stats: DataFrame) -> DataFrame:
