@@ -303,37 +303,79 @@ def _search(percent: int) -> Callable:
     return apply
 
 
+def _counted(percent: int) -> Callable:
+    """(name, links): for each visitor of a tile, rows of the tile's sets that it links with; a set is no link of itself."""
+
+    def apply(unit: pa.Table) -> pa.Table:
+        blocks, tiles, names, rows_of = (unit.column(c).to_numpy() for c in ("block", "tile", "name", "rows"))
+        own = unit.column("own").to_numpy(zero_copy_only=False)
+        order = np.lexsort((names, ~own, tiles, blocks))
+        edges = np.flatnonzero(np.concatenate([[True], (np.diff(blocks[order]) != 0) | (np.diff(tiles[order]) != 0), [True]]))
+        column, found, links = unit.column("shingles"), [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows = order[a:b]
+            members, visitors = rows[own[rows]], rows[~own[rows]]
+            _, once = np.unique(names[members], return_index=True)
+            members = members[once]
+            _, once = np.unique(names[visitors], return_index=True)
+            index = Index([np.frombuffer(column[int(i)].as_py(), np.uint64) for i in members])
+            for v in visitors[once]:
+                query = np.frombuffer(column[int(v)].as_py(), np.uint64)
+                met = members[list(index.linked(query, 1, lambda x: names[members[x]] == names[v], percent))]
+                found.append(names[v])
+                links.append(int(rows_of[met].sum()))
+        return pa.table({"name": pa.array(found, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    return apply
+
+
+def _unit(units: int) -> Column:
+    return F.pmod(F.xxhash64("block", "tile"), F.lit(units)).alias("unit")
+
+
 def _searched(rows: DataFrame, units: int, percent: int) -> DataFrame:
-    unit = F.pmod(F.xxhash64("block", "tile"), F.lit(units)).alias("unit")
-    return stored(rows.select(unit, "block", "tile", "name", "own", "shingles").groupBy("unit").applyInArrow(_search(percent), "u long, v long"))
+    return stored(rows.select(_unit(units), "block", "tile", "name", "own", "shingles").groupBy("unit").applyInArrow(_search(percent), "u long, v long"))
 
 
 def _visits(members: DataFrame, visitors: DataFrame, tiles: DataFrame) -> DataFrame:
     """Members of divided blocks, and the visitors once for each tile of their block."""
-    sent = visitors.join(tiles, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "name", "shingles")
+    sent = visitors.join(tiles, "block").select(*["block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile")], *[c for c in visitors.columns if c not in ("block", "tile")])
     return members.withColumn("own", F.lit(True)).unionByName(sent.withColumn("own", F.lit(False)))
 
 
-def _links(sets: DataFrame, chains: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links among candidate sets, enough to connect all that links connect."""
+def _blocks(sets: DataFrame, chains: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(block, tile, name, rows, shingles) of each candidate set once, (block, tiles), and the number of search tasks."""
     edges = stored(chains.groupBy("u", "v").agg(F.min("rare").alias("rare")))
     about = lambda x: stands.select(F.col("name").alias(x), F.col("d.n").alias(f"n_{x}"), F.col("d.bits").alias(f"bits_{x}"))
-    stands = stored(sets.where("n_shingles > 0").groupBy("name").agg(F.min(F.struct("doc_key", "print", F.col("n_shingles").alias("n"), "bits")).alias("d")))
+    first = F.min(F.struct("doc_key", "print", F.col("n_shingles").alias("n"), "bits")).alias("d")
+    stands = stored(sets.where("n_shingles > 0").groupBy("name").agg(first, F.count(F.lit(1)).alias("rows")))
     unsure = edges.where("rare").join(about("u"), "u").join(about("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
     near = stored(components(edges.where("not rare").select("u", "v").union(unsure.mapInArrow(_possible(percent), "u long, v long"))))
     nodes = near.union(near.select(F.col("component"), "component").distinct())
-    placed = stored(stands.join(nodes.select(F.col("node").alias("name"), F.col("component").alias("block")), "name").select("name", "block", "d.doc_key", "d.print", "d.n"))
+    placed = stored(stands.join(nodes.select(F.col("node").alias("name"), F.col("component").alias("block")), "name").select("name", "block", "rows", "d.doc_key", "d.print", "d.n"))
     weights = stored(placed.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.lit(1)).alias("tiles"), F.sum("n").alias("n")))
     total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     units = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TILE))
     tiled = placed.join(weights.select("block", "tiles"), "block").select(
-        "doc_key", "print", "name", "block", F.pmod(F.xxhash64("name"), F.col("tiles")).alias("tile")
+        "doc_key", "print", "name", "block", "rows", F.pmod(F.xxhash64("name"), F.col("tiles")).alias("tile")
     )
-    loaded = sets.select("doc_key", "print", "shingles").join(broadcast_if_small(stored(tiled)), ["doc_key", "print"]).select("block", "tile", "name", "shingles")
-    divided = stored(weights.where("tiles > 1").select("block", "tiles"))
+    loaded = sets.select("doc_key", "print", "shingles").join(broadcast_if_small(stored(tiled)), ["doc_key", "print"])
+    return loaded.select("block", "tile", "name", "rows", "shingles"), weights.select("block", "tiles"), units
+
+
+def _link_counts(loaded: DataFrame, tiles: DataFrame, units: int, percent: int) -> DataFrame:
+    """(name, links): every candidate set looked up among all sets of its block, tile by tile."""
+    visits = _visits(loaded, loaded, tiles).select(_unit(units), "block", "tile", "name", "rows", "own", "shingles")
+    found = visits.groupBy("unit").applyInArrow(_counted(percent), "name long, links long")
+    return stored(found.groupBy("name").agg(F.sum("links").alias("links")))
+
+
+def _links(loaded: DataFrame, tiles: DataFrame, units: int, percent: int) -> DataFrame:
+    """(u, v): links among candidate sets, enough to connect all that links connect."""
+    loaded = loaded.drop("rows")
+    divided = stored(tiles.where("tiles > 1"))
     if divided.isEmpty():
         return _searched(loaded.withColumn("own", F.lit(True)), units, percent)
-    loaded = stored(loaded)
     found = _searched(loaded.withColumn("own", F.lit(True)), units, percent)
     members = loaded.join(divided.select("block"), "block")
     state = lambda edges: stored(components(edges))
@@ -355,16 +397,19 @@ def document_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("doc_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("print")]
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_key, print, doc_id, n_shingles, component_id, and whether it is its group's first.
 
+    With ``count`` also n_links, the number of other rows it links with: then every candidate set is looked up, which for a
+    large group of near copies is work in the square of its distinct sets, spread over its tiles. Components need less.
+
     Sets, blocks and rounds of components are working tables: only the rows of the result stay stored.
     """
     with scratch(docs.sparkSession) as keep:
-        return keep(_linked(docs, width, percent))
+        return keep(_linked(docs, width, percent, count))
 
 
-def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, width: int, percent: int, count: bool) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(*document_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
@@ -379,21 +424,29 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     frequent = heads(np.empty(0, np.uint64)).applyInArrow(_frequent, "shingle long, sets long")
     last = frequent.orderBy(F.desc("sets"), "shingle").limit(DEMOTED).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     chains = heads(np.sort(last.view(np.uint64))).applyInArrow(_chains(percent), "u long, v long, rare boolean")
-    reached = components(_links(sets, chains, percent))
+    loaded, tiles, units = _blocks(sets, chains, percent)
+    loaded = stored(loaded)
+    reached = components(_links(loaded, tiles, units, percent))
+    links = _link_counts(loaded, tiles, units, percent) if count else None
     some = sets.where("n_shingles > 0")
     first = F.min(F.struct((F.col("doc_key") == NO_ID).alias("unnamed"), "doc_key", "print")).alias("first")
     named = stored(
         some.groupBy("name").agg(first).join(reached, F.col("name") == F.col("node"), "left").select("name", "first", F.coalesce("component", "name").alias("c"))
     )
+    if count:
+        rows = some.groupBy("name").agg((F.count(F.lit(1)) - 1).alias("same"))
+        total = (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links")
+        named = stored(named.join(rows.join(links, "name", "left").select("name", total), "name"))
     best = named.groupBy("c").agg(F.min("first").alias("first"))
-    linked = some.join(named.select("name", "c").join(best, "c"), "name").select(
-        "doc_key", "print", "n_shingles", F.col("first.doc_key").alias("low"),
+    more = ["n_links"] if count else []
+    linked = some.join(named.select("name", "c", *more).join(best, "c"), "name").select(
+        "doc_key", "print", "n_shingles", *more, F.col("first.doc_key").alias("low"),
         ((F.col("first.doc_key") == F.col("doc_key")) & (F.col("first.print") == F.col("print"))).alias("first"),
     )
-    alone = sets.where("n_shingles = 0").select("doc_key", "print", "n_shingles", F.col("doc_key").alias("low"), F.lit(True).alias("first"))
+    alone = sets.where("n_shingles = 0").select("doc_key", "print", "n_shingles", *[F.lit(0).cast("long").alias(x) for x in more], F.col("doc_key").alias("low"), F.lit(True).alias("first"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return linked.unionByName(alone).select(
-        "doc_key", "print", shown("doc_key").alias("doc_id"), "n_shingles", shown("low").alias("component_id"), "first"
+        "doc_key", "print", shown("doc_key").alias("doc_id"), "n_shingles", shown("low").alias("component_id"), "first", *more
     )
 
 
