@@ -18,24 +18,31 @@ from pairpref.operators.bootstrap import (
     formal_score_intervals,
     gate,
     hashed_cells,
+    model_positions,
     pairwise_stability,
     rank_summary,
     resample,
     run_bootstrap,
+    score_intervals,
     tie_interval,
+    with_codes,
+    with_names,
 )
-from pairpref.operators.estimate import POLICIES, count_cells, expected_points, likelihood_rows, models_of
+from pairpref.operators.estimate import POLICIES, count_cells, expected_points, likelihood_rows, scores_long
+from pairpref.operators.largefit import fit_many
 from pairpref.operators.population import JUDGE_CLUSTER_RESEARCH
 from pairpref.operators.resample import (
+    blocked_multiplicities,
     cluster_violations,
     hashed_draws,
     multiplicities,
     numbered_units,
     unit_cells,
 )
-from pairpref.schema import A_WIN, B_WIN, BOTH_BAD, TIE
+from pairpref.schema import A_WIN, B_WIN, BOTH_BAD, FORMAL_REPLICATES, TIE
+from pairpref.session import stored
 
-SEED, REPLICATES = 42, 20
+SEED, REPLICATES, FORMAL = 42, 20, FORMAL_REPLICATES
 CONFIG = BootstrapConfig(REPLICATES, SEED, draws="hashed")
 JUDGED = population_sql(judge=True)
 PRIMARY = "primary"
@@ -153,17 +160,20 @@ def cluster_resample(spark, sf):
 
 
 @query("b04_blocked_draws", JUDGED + f"""
-select r replicate, count(distinct judge_cluster_id) draws from eligible, (select unnest(range(1, {REPLICATES + 1})) r)
+select r replicate, count(distinct judge_cluster_id) draws, 0::bigint differing_cells from eligible, (select unnest(range(1, {REPLICATES + 1})) r)
 group by 1""")
 def blocked_draws(spark, sf):
-    """Blocks spend exactly G draws per replicate: one battle per judge makes draws countable as battles."""
+    """Blocks spend exactly G draws per replicate, and the cells of whole battles are those that the drawn judges have:
+    both sides of a full join of the resample with a recomputation from the multiplicities."""
     battles = judged(spark, sf)
-    one = battles.groupBy("judge_cluster_id").agg(
-        F.min_by(F.struct("battle_id", "model_a_id", "model_b_id", "canonical_outcome"), "battle_id").alias("b")
-    ).select("judge_cluster_id", "b.*")
-    ids = [row["model_id"] for row in models_of(count_cells(one)).orderBy("model_id").collect()]
-    cells = resample(one, BootstrapConfig(REPLICATES, SEED), ids)
-    return cells.groupBy("replicate").agg(F.sum("n").alias("draws"))
+    ids = model_positions(count_cells(battles))
+    cells = unit_cells(battles, "judge_cluster")
+    coded = stored(with_codes(cells, ids))
+    times = stored(blocked_multiplicities(coded, REPLICATES, SEED))
+    again = times.join(coded, "unit").groupBy("replicate", "code").agg(F.sum(F.col("n") * F.col("multiplicity")).alias("again"))
+    both = resample(battles, BootstrapConfig(REPLICATES, SEED), ids).join(again, ["replicate", "code"], "full_outer")
+    wrong = both.groupBy("replicate").agg(F.count_if(~F.col("n").eqNullSafe(F.col("again"))).alias("differing_cells"))
+    return times.groupBy("replicate").agg(F.sum("multiplicity").alias("draws")).join(wrong, "replicate", "left")
 
 
 @query("b05_row_resample", JUDGED.rstrip() + f""",
@@ -179,13 +189,34 @@ def row_resample(spark, sf):
     return draws.groupBy("replicate").agg(F.sum("multiplicity").alias("draws"), F.count(F.lit(1)).alias("distinct_rows"))
 
 
+@query("b05_row_cells", JUDGED + f""",
+placed as (select model_a_id, model_b_id, canonical_outcome,
+  row_number() over (order by model_a_id, model_b_id, canonical_outcome) - 1 unit_no from eligible),
+g as (select count(*) n from eligible),
+grid as (select r replicate, unnest(range(n)) d, n from g, (select unnest(range(1, 4)) r)),
+draws as (select replicate, ('0x' || substr(md5('{SEED}|' || replicate || '|' || d), 1, 15))::bigint % n unit_no from grid)
+select replicate, model_a_id, model_b_id, canonical_outcome, count(*) n from draws join placed using (unit_no) group by 1, 2, 3, 4""")
+def row_cells(spark, sf):
+    """Row resamples by recomputable draws, cell by cell: each draw is looked up in the prefix sums of the cells."""
+    return hashed_cells(judged(spark, sf), BootstrapConfig(3, SEED, "battle_row", "hashed"))
+
+
 @query("b05_row_multinomial", JUDGED + f"""
-select r replicate, count(*) draws from eligible, (select unnest(range(1, {REPLICATES + 1})) r) group by 1""")
+select r replicate, count(*) draws, true only_known_cells, true near_expected
+from eligible, (select unnest(range(1, {REPLICATES + 1})) r) group by 1""")
 def row_multinomial(spark, sf):
+    """Cells of the blocked row bootstrap: N draws a replicate, in cells that exist, none far from its own count
+    (six standard deviations of its binomial share)."""
     battles = judged(spark, sf)
-    ids = [row["model_id"] for row in models_of(count_cells(battles)).orderBy("model_id").collect()]
-    cells = resample(battles, BootstrapConfig(REPLICATES, SEED, "battle_row"), ids)
-    return cells.groupBy("replicate").agg(F.sum("n").alias("draws"))
+    ids = model_positions(count_cells(battles))
+    own = stored(with_codes(count_cells(battles), ids)).withColumnRenamed("n", "own")
+    total = own.agg(F.sum("own").alias("total"))
+    drawn = resample(battles, BootstrapConfig(REPLICATES, SEED, "battle_row"), ids)
+    joined = drawn.join(own, "code", "left").withColumn("total", total.scalar())
+    off = F.abs(F.col("n") - F.col("own")) <= 6 * F.sqrt(F.col("own") * (1 - F.col("own") / F.col("total"))) + 6
+    return joined.groupBy("replicate").agg(
+        F.sum("n").alias("draws"), F.bool_and(F.col("own").isNotNull()).alias("only_known_cells"), F.bool_and(off).alias("near_expected")
+    )
 
 
 @query("b06_absent_models", DRAWN + """,
@@ -209,10 +240,13 @@ select r.replicate, m.model_id from (select unnest(range(1, {REPLICATES + 1})) r
 def bootstrap(spark, sf):
     """Every replicate is fitted and optimal: expected minus observed points vanish for each model."""
     boot = run_bootstrap(judged(spark, sf), CONFIG)
-    by = ("replicate",)
-    cells = drawn_cells(spark, sf)
-    expected = expected_points(cells, boot.fits, CONFIG.estimator, by).select("replicate", "model_id", "points")
-    used, outcome = likelihood_rows(cells, CONFIG.estimator), F.col("canonical_outcome")
+    return _gradients(drawn_cells(spark, sf), boot.fits, CONFIG.estimator)
+
+
+def _gradients(cells, fits, estimator):
+    """|expected - observed| points per (replicate, model) of fits over (replicate, cell, n)."""
+    expected = expected_points(cells, fits, estimator, ("replicate",)).select("replicate", "model_id", "points")
+    used, outcome = likelihood_rows(cells, estimator), F.col("canonical_outcome")
     side = lambda model, win: F.struct(
         F.col(model).alias("model_id"),
         (F.col("n") * F.when(outcome == win, 1.0).when(outcome == TIE, 0.5).otherwise(0.0)).alias("p"),
@@ -223,13 +257,33 @@ def bootstrap(spark, sf):
     return expected.join(observed, ["replicate", "model_id"]).select("replicate", "model_id", gap)
 
 
-@query("b07_blocked_bootstrap")
+@query("b07_blocked_bootstrap", JUDGED + "select replicate, model_id, 0.0::double gradient from (" + _EVERY_MODEL + ")")
 def blocked_bootstrap(spark, sf):
-    """The default engine end to end: intervals of the tie parameter and the gate for a small run."""
-    boot = run_bootstrap(judged(spark, sf), BootstrapConfig(REPLICATES, SEED))
-    return boot.summary.withColumns({
-        name: tie_interval(boot.statuses).select(name).scalar() for name in ("tie_ci_low", "tie_ci_high")
-    })
+    """The default engine end to end: every replicate of its draws is fitted and optimal."""
+    battles, config = judged(spark, sf), BootstrapConfig(REPLICATES, SEED)
+    boot = run_bootstrap(battles, config)
+    ids = model_positions(count_cells(battles))
+    return _gradients(stored(with_names(resample(battles, config, ids), ids)), boot.fits, config.estimator)
+
+
+@query("b07_large_fits", JUDGED + "select replicate, model_id, 0.0::double gradient from (" + _EVERY_MODEL.replace(f"{REPLICATES + 1}", "3") + ")")
+def large_fits(spark, sf):
+    """Replicates fitted by the loop for many models, all in one, whatever the number of models here."""
+    cells = stored(drawn_cells(spark, sf).where("replicate <= 2"))
+    return _gradients(cells, fit_many(cells, CONFIG.estimator, ("replicate",)), CONFIG.estimator)
+
+
+@query("b07_formal_bootstrap", JUDGED + f"""
+select {FORMAL}::bigint attempted, {FORMAL}::bigint successful, 0::bigint failed, true formal_target_met, true formal_ci_valid,
+  count(*) models, true intervals_hold_points
+from (select model_a_id from eligible union select model_b_id from eligible)""")
+def formal_bootstrap(spark, sf):
+    """The formal number of attempts: the gate opens, and every model's interval holds its point score."""
+    boot = run_bootstrap(judged(spark, sf), BootstrapConfig(FORMAL, SEED))
+    found = score_intervals(boot.scores).join(scores_long(boot.point), "model_id")
+    holds = (F.col("score_ci_low") <= F.col("score")) & (F.col("score") <= F.col("score_ci_high"))
+    inside = found.agg(F.count(F.lit(1)).alias("models"), F.bool_and(holds).alias("intervals_hold_points"))
+    return boot.summary.withColumns({name: inside.select(name).scalar() for name in inside.columns})
 
 
 @query("b08_failure_counts", DRAWN + """,

@@ -6,13 +6,16 @@ sum(count * multiplicity) per (model_a, model_b, outcome).
 Two exact ways to draw:
 
 * ``hashed``: draw d of replicate r is a hash of (seed, r, d). Anyone can recompute it, in SQL too.
-* ``blocked``: the units are split into blocks; how many draws a block receives is one multinomial vector that
-  every block derives from (seed, r), and the block spends them on its own units. No draw is shuffled, so the
-  work is units x replicates with only small per-cell sums leaving a task.
+* ``blocked``: the units are split into a fixed number of blocks, the leaves of a binary tree. A node passes a binomial
+  share of its draws to its left half, so a block learns its own share from the log2(blocks) splits above it, and
+  spends it on its own units. Every split and every leaf has a counter-based random stream named by (seed, r, node):
+  no draw is shuffled, no block draws for another, and the result depends on nothing but the units and the
+  configuration. Per-cell sums leave a task a slice of replicates at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +26,11 @@ from pyspark.sql.window import Window
 
 from pairpref.functions.text import present
 from pairpref.operators.estimate import CELL
-from pairpref.session import broadcast_if_small, cut
+from pairpref.session import broadcast_if_small, cut, stored
 
 UNITS = {"judge_cluster": "judge_cluster_id", "battle_row": "battle_id"}
-SMALL_BLOCK, LARGE_BLOCK, BLOCKS = 20_000, 2_000_000, 512
+BLOCKS, SLICE = 64, 50  # blocks unless the configuration says otherwise; replicates whose sums leave a task together
+LOOKUP_BUCKETS = 4096  # stretches of positions that row draws are matched in
 
 
 class BootstrapError(ValueError):
@@ -106,75 +110,155 @@ def resampled_cells(cells: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class BlockPlan:
-    """How many units each block holds."""
+class ShareTree:
+    """Weights (units, or battles) below each node of a binary tree over the blocks; node 1 is the root, block b the
+    leaf ``leaves + b``, and node k has children 2k and 2k + 1."""
 
-    sizes: tuple[int, ...]
+    weights: tuple[int, ...]
+
+    @classmethod
+    def over(cls, sizes: list[int]) -> ShareTree:
+        leaves = 1 << max(0, len(sizes) - 1).bit_length()
+        weights = [0] * leaves + list(sizes) + [0] * (leaves - len(sizes))
+        for node in range(leaves - 1, 0, -1):
+            weights[node] = weights[2 * node] + weights[2 * node + 1]
+        return cls(tuple(weights))
 
     @property
-    def units(self) -> int:
-        return sum(self.sizes)
+    def leaves(self) -> int:
+        return len(self.weights) // 2
+
+    def leaf(self, block: int) -> int:
+        return self.leaves + block
+
+    def share(self, streams: Streams, replicate: int, block: int) -> int:
+        """Draws of ``block`` when as many draws as there are weights go down from the root."""
+        draws, node, leaf = self.weights[1], 1, self.leaf(block)
+        for below in reversed(range(self.leaves.bit_length() - 1)):
+            left = self.weights[2 * node]
+            went = int(streams.at(replicate, node).binomial(draws, left / self.weights[node])) if self.weights[node] else 0
+            node = leaf >> below
+            draws = draws - went if node % 2 else went
+        return draws
+
+
+class Streams:
+    """Counter-based generators: the seed and the replicate are the key, the node is the high word of the counter."""
+
+    def __init__(self, seed: int) -> None:
+        self.word = np.random.SeedSequence(seed).generate_state(1, np.uint64)[0]
 
+    def at(self, replicate: int, node: int) -> np.random.Generator:
+        key = np.array([self.word, replicate], np.uint64)
+        return np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, node], np.uint64)))
 
-def with_blocks(cells: DataFrame) -> tuple[DataFrame, BlockPlan]:
-    """Assign units to blocks by hash; block sizes follow from the data alone, not from the cluster."""
-    rows = cells.count()
-    blocks = max(1, min(-(-rows // SMALL_BLOCK), BLOCKS), -(-rows // LARGE_BLOCK))
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int"))
-    counted = cells.select("block", "unit").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = dict((row["block"], row["n"]) for row in counted)
-    return cells, BlockPlan(tuple(sizes.get(block, 0) for block in range(blocks)))
+
+def _in_blocks(cells: DataFrame, name: str, blocks: int) -> DataFrame:
+    return cells.withColumn("block", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
+
+
+def _tree(sizes: DataFrame, blocks: int) -> ShareTree:
+    """From (block, size), one row a block."""
+    size = {row["block"]: row["size"] for row in sizes.collect()}
+    return ShareTree.over([size.get(block, 0) for block in range(blocks)])
+
+
+def _sliced(replicates: int, codes: np.ndarray, sums_of) -> Iterator[pd.DataFrame]:
+    """(replicate, code, n) frames of at most SLICE replicates each; ``sums_of(replicate)`` has a sum for each code."""
+    for begin in range(1, replicates + 1, SLICE):
+        numbers = range(begin, min(begin + SLICE, replicates + 1))
+        sums = [sums_of(replicate) for replicate in numbers]
+        found = [np.flatnonzero(x) for x in sums]
+        yield pd.DataFrame({
+            "replicate": np.repeat(np.array(numbers), [len(x) for x in found]),
+            "code": codes[np.concatenate(found)],
+            "n": np.concatenate([x[at] for x, at in zip(sums, found)]).astype("int64"),
+        })
 
 
-def _stream(seed: int, replicate: int, block: int) -> np.random.Generator:
-    """An independent random stream per (seed, replicate, block); block -1 shares out the draws."""
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, replicate, block + 1])))
+def unit_times(tree: ShareTree, streams: Streams, replicate: int, block: int, units: int) -> np.ndarray:
+    """How often each of the ``units`` of a block, in sorted order, is drawn in a replicate."""
+    draws = tree.share(streams, replicate, block)
+    return np.bincount(streams.at(replicate, tree.leaf(block)).integers(0, units, size=draws), minlength=units)
 
 
-def blocked_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+def blocked_cells(cells: DataFrame, replicates: int, seed: int, blocks: int = BLOCKS) -> DataFrame:
     """(replicate, code, n) for replicates 1 .. B from (unit, code, n); ``code`` is an integer name of a cell."""
-    cells, plan = with_blocks(cells)
-    shares = np.array(plan.sizes) / plan.units
-    total = plan.units
+    cells = _in_blocks(cells, "unit", blocks)
+    tree = _tree(cells.select("block", "unit").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("size")), blocks)
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block = key[0]
+    def draw(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, pdf, streams = int(key[0]), pd.concat(list(frames)), Streams(seed)
         names, unit = np.unique(pdf["unit"].to_numpy(str), return_inverse=True)
         codes, cell = np.unique(pdf["code"].to_numpy(), return_inverse=True)
         n = pdf["n"].to_numpy(float)
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for replicate in range(1, replicates + 1):
-            mine = _stream(seed, replicate, -1).multinomial(total, shares)[block]
-            picks = _stream(seed, replicate, block).integers(0, len(names), size=mine)
-            times = np.bincount(picks, minlength=len(names))
-            sums = np.bincount(cell, n * times[unit], len(codes))
-            found = np.flatnonzero(sums)
-            kept.append((found, sums[found]))
-        return pd.DataFrame({
-            "replicate": np.repeat(np.arange(1, replicates + 1), [len(found) for found, _ in kept]),
-            "code": codes[np.concatenate([found for found, _ in kept])],
-            "n": np.concatenate([sums for _, sums in kept]).astype("int64"),
-        })
+        times = lambda replicate: unit_times(tree, streams, replicate, block, len(names))
+        yield from _sliced(replicates, codes, lambda replicate: np.bincount(cell, n * times(replicate)[unit], len(codes)))
 
     drawn = cells.groupBy("block").applyInPandas(draw, "replicate bigint, code bigint, n bigint")
     return drawn.groupBy("replicate", "code").agg(F.sum("n").alias("n"))
 
 
-def row_resample_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+def blocked_multiplicities(cells: DataFrame, replicates: int, seed: int, blocks: int = BLOCKS) -> DataFrame:
+    """(replicate, unit, multiplicity) of the very draws of :func:`blocked_cells`, for those who want the units."""
+    units = _in_blocks(cells.select("unit").distinct(), "unit", blocks)
+    tree = _tree(units.groupBy("block").agg(F.count(F.lit(1)).alias("size")), blocks)
+
+    def draw(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, streams = int(key[0]), Streams(seed)
+        names = np.unique(pd.concat(list(frames))["unit"].to_numpy(str))
+        for replicate in range(1, replicates + 1):
+            times = unit_times(tree, streams, replicate, block, len(names))
+            drawn = np.flatnonzero(times)
+            yield pd.DataFrame({"replicate": replicate, "unit": names[drawn], "multiplicity": times[drawn]})
+
+    return units.groupBy("block").applyInPandas(draw, "replicate bigint, unit string, multiplicity bigint")
+
+
+def row_resample_cells(cells: DataFrame, replicates: int, seed: int, blocks: int = BLOCKS) -> DataFrame:
     """Row bootstrap without rows: battles of one cell are interchangeable, so N draws with replacement are a
-    multinomial over the cells. Each replicate is one task-sized draw over (code, n), at most a few per pair."""
-    listed = cells.agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("cells"))
-    grid = cells.sparkSession.range(1, replicates + 1).select(F.col("id").alias("replicate"))
-    listed = cut(listed).select("cells").first()["cells"]
-    codes = np.array([row["code"] for row in listed])
-    counts = np.array([row["n"] for row in listed], dtype="int64")
-    shares = counts / counts.sum()
-
-    def draw(batches):
-        for pdf in batches:
-            for replicate in pdf["replicate"]:
-                sums = _stream(seed, int(replicate), 0).multinomial(counts.sum(), shares)
-                found = np.flatnonzero(sums)
-                yield pd.DataFrame({"replicate": int(replicate), "code": codes[found], "n": sums[found]})
-
-    return grid.mapInPandas(draw, "replicate bigint, code bigint, n bigint")
+    multinomial over the cells (code, n). The tree shares the draws out over blocks of cells by their battles, and each
+    block splits its own; no list of cells leaves its tasks."""
+    cells = _in_blocks(cells, "code", blocks)
+    tree = _tree(cells.groupBy("block").agg(F.sum("n").alias("size")), blocks)
+
+    def draw(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, streams = int(key[0]), Streams(seed)
+        pdf = pd.concat(list(frames)).sort_values("code")
+        codes, counts = pdf["code"].to_numpy(), pdf["n"].to_numpy("int64")
+        shares = counts / counts.sum()
+        times = lambda r: streams.at(r, tree.leaf(block)).multinomial(tree.share(streams, r, block), shares)
+        yield from _sliced(replicates, codes, times)
+
+    return cells.groupBy("block").applyInPandas(draw, "replicate bigint, code bigint, n bigint")
+
+
+def prefix_sums(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``cells`` (keys, n; one row a key) with ``begin``: the sum of n over all smaller keys, range by range."""
+    dealt = cells.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__slice", F.spark_partition_id())
+    dealt = stored(dealt)
+    order = Window.partitionBy("__slice").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__slice").agg(F.sum("n").alias("__size"))  # one row per partition
+    offsets = sizes.select("__slice", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    inside = F.coalesce(F.sum("n").over(order), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(offsets), "__slice").select(
+        *cells.columns, (F.col("__offset") + F.col("__inside")).alias("begin")
+    )
+
+
+def hashed_row_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, cell, n) of hashed draws of single battles, numbered cell by cell in sorted order of :data:`CELL`.
+
+    A draw is a position among all battles; the cell that holds it is looked up among the cells' prefix sums, both
+    sides dealt to stretches of positions, of which a cell takes as many as it covers.
+    """
+    placed = stored(prefix_sums(cells.select(*CELL, "n"), CELL))
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    width = max(1, -(-total // LOOKUP_BUCKETS))
+    stretch = lambda position: F.expr(f"({position}) div {width}")
+    spans = placed.withColumn("__s", F.explode(F.sequence(stretch("begin"), stretch("begin + n - 1"))))
+    draws = multiplicities(hashed_draws(cells.sparkSession, total, replicates, seed)).withColumn("__s", stretch("unit_no"))
+    spans = broadcast_if_small(stored(spans))
+    found = draws.join(spans, "__s").where((F.col("unit_no") >= F.col("begin")) & (F.col("unit_no") < F.col("begin") + F.col("n")))
+    return found.groupBy("replicate", *CELL).agg(F.sum("multiplicity").alias("n"))
