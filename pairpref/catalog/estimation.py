@@ -12,6 +12,7 @@ from pairpref.catalog import query
 from pairpref.catalog.descriptive import statistics
 from pairpref.catalog.tables import CANONICAL, LEADERBOARD, canonical_table, population, population_sql
 from pairpref.operators.estimate import (
+    outcome_counts,
     POLICIES,
     EstimatorConfig,
     count_cells,
@@ -259,3 +260,14 @@ def fit_diagnostics(spark, sf):
     fits = fit(_by_language(spark, sf), DAVIDSON, LANGUAGE)
     rows = diagnostics(fits, LANGUAGE).drop("iterations", "objective", "tie_parameter")
     return rows.withColumns({"models": F.col("models").cast("bigint"), "edges": F.col("edges").cast("bigint")})
+
+
+@query("e15_outcome_counts", BASE + """
+select language_canonical, outcome, count(*) filter (canonical_outcome = outcome) population,
+  count(*) filter (case when canonical_outcome = 'tie_bothbad' then 'tie' else canonical_outcome end = outcome) likelihood, 0::bigint excluded
+from eligible, (select unnest(['model_a_win', 'model_b_win', 'tie', 'tie_bothbad']) outcome)
+where language_canonical is not null group by 1, 2""")
+def counted_outcomes(spark, sf):
+    """What each fit was handed, used and left out, by outcome, where all ties are one."""
+    cells = cut(count_cells(_by_language(spark, sf), LANGUAGE))
+    return outcome_counts(cells, EstimatorConfig("davidson_coalesced_ties"), LANGUAGE)

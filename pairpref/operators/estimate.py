@@ -1,25 +1,28 @@
 """Bradley-Terry and Davidson scores for one or many strata.
 
 Battles are first reduced to counts per (stratum, model_a, model_b, outcome); every later step works on those.
-Strata of up to ``DENSE_MODELS`` models are fitted in parallel, one group each; a larger one is fitted by
-distributed gradients (``operators.largefit``).
+Strata of up to ``DENSE_MODELS`` models are fitted in parallel, one group each; all larger ones are fitted together by
+distributed gradients (``operators.largefit``). Both reach the same optimum; which one served is part of the identity.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairpref.functions.text import present
 from pairpref.operators.kernel import fit_counts
 from pairpref.schema import A_WIN, B_WIN, BOTH_BAD, ESTIMATOR_VERSION, OUTCOMES, RANK_TOLERANCE, TIE, UNKNOWN
-from pairpref.session import cut
+from pairpref.session import cut, stored
 
 DENSE_MODELS = 500
 CELL = ("model_a_id", "model_b_id", "canonical_outcome")
@@ -77,7 +80,7 @@ class EstimatorConfig:
             "estimator_version": ESTIMATOR_VERSION,
             "outcome_policy": POLICIES[self.estimator][0],
             "identifiability": "sum_to_zero",
-            "optimizer": "newton",
+            "optimizer": {"method": "newton", "models": DENSE_MODELS, "beyond": "l-bfgs"},
             "regularization": None,
             "max_iterations": self.max_iterations,
             "tolerance": self.tolerance,
@@ -143,6 +146,31 @@ def tie_support(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] =
     return counts.withColumn("identifiable", (F.col("ties") > 0) & (F.col("decisive") > 0))
 
 
+def outcome_counts(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, outcome, population, likelihood, excluded): battles of every outcome, also of those that did not occur.
+
+    ``population`` is what was handed in, ``likelihood`` what the fit uses under the name it uses it by (a coalesced tie of
+    two bad answers counts as a tie), ``excluded`` what the policy leaves out.
+    """
+    known = F.explode(F.array(*[F.lit(outcome) for outcome in sorted(OUTCOME_CODES)])).alias("outcome")
+    strata = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
+    grid = strata.select(*by, known)
+    per = lambda rows, name: rows.groupBy(*by, F.col("canonical_outcome").alias("outcome")).agg(F.sum("n").alias(name))
+    out = grid
+    for name, rows in (
+        ("population", cells), ("likelihood", likelihood_rows(cells, config)),
+        ("excluded", cells.where(~F.col("canonical_outcome").isin(*config.outcomes))),
+    ):
+        counted = per(rows, name).alias("c")
+        same = [F.col(f"g.{key}").eqNullSafe(F.col(f"c.{key}")) for key in (*by, "outcome")]
+        condition = same[0]
+        for more in same[1:]:
+            condition = condition & more
+        joined = out.alias("g").join(counted, condition, "left")
+        out = joined.select(*[F.col(f"g.{key}").alias(key) for key in out.columns], F.coalesce(F.col(f"c.{name}"), F.lit(0)).cast("long").alias(name))
+    return out
+
+
 def fits_schema(cells: DataFrame, by: tuple[str, ...]) -> str:
     keys = [(name, cells.schema[name].dataType.simpleString()) for name in by]
     return ", ".join(f"`{name}` {kind}" for name, kind in [*keys, *RESULT])
@@ -180,33 +208,24 @@ def fit_cells(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = (
     A failed stratum keeps its row and its code. ``cells`` must be materialised: its strata are measured first.
     """
     sizes = models_of(cells, by).groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
-    large = [row.asDict() for row in sizes.where(F.col("k") > DENSE_MODELS).collect()] if by else []
+    large = bool(by) and not sizes.where(F.col("k") > DENSE_MODELS).isEmpty()
     if not by:
         total = sizes.first()
         if total is None or total["k"] == 0:
             raise EstimationError("ZERO_LIKELIHOOD_ROWS", "the population is empty")
-        large = [{}] if total["k"] > DENSE_MODELS else []
+        large = total["k"] > DENSE_MODELS
     if not large:
         return cut(_dense_fit(cells, by, config))
-    from pairpref.operators.largefit import fit_large
-
-    def matches(stratum: dict[str, Any]) -> Column:
-        condition = F.lit(True)
-        for name in by:
-            condition = condition & F.col(name).eqNullSafe(F.lit(stratum[name]))
-        return condition
-
-    small = cells
-    fits = []
-    for stratum in large:
-        small = small.where(~matches(stratum))
-        fits.append(fit_large(cells.where(matches(stratum)), config, {name: stratum[name] for name in by}))
-    if by:
-        fits.append(_dense_fit(small, by, config))
-    union = fits[0]
-    for frame in fits[1:]:
-        union = union.unionByName(frame)
-    return cut(union)
+    from pairpref.operators.largefit import fit_many
+
+    if not by:
+        return cut(fit_many(cells, config))
+    size = F.struct(*[F.col(name) for name in by])
+    beyond = sizes.where(F.col("k") > DENSE_MODELS).select(F.xxhash64(size).alias("__size")).distinct()
+    marked = cells.withColumn("__size", F.xxhash64(size))
+    small = marked.join(beyond, "__size", "left_anti").drop("__size")
+    fits = fit_many(cut(marked.join(beyond, "__size", "left_semi").drop("__size")), config, by)
+    return cut(_dense_fit(small, by, config).unionByName(fits.select(*by, *[name for name, _ in RESULT])))
 
 
 def fit(battles: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()) -> DataFrame:
@@ -255,30 +274,89 @@ def expected_points(cells: DataFrame, fits: DataFrame, config: EstimatorConfig,
     )
 
 
+def _next_heads(scores: np.ndarray, at: int) -> Iterator[int]:
+    """Places of the heads of groups from ``at`` on; scores fall, a group ends beyond the tolerance from its head."""
+    rising = -scores
+    while at < len(scores):
+        yield at
+        after = max(int(np.searchsorted(rising, rising[at] + RANK_TOLERANCE, "right")), at + 1)
+        while after - 1 > at and scores[at] - scores[after - 1] > RANK_TOLERANCE:  # rounding of the sum
+            after -= 1
+        while after < len(scores) and not scores[at] - scores[after] > RANK_TOLERANCE:
+            after += 1
+        at = after
+
+
+def _slice_ends(rows: pa.Table) -> pa.Table:
+    """What a slice does to a ranking that runs through it.
+
+    For every score that can become the first head here (whatever the head before): the last head and the number of heads
+    when it does. Only scores within the tolerance of the slice's first one, and the next, can.
+    """
+    rows = rows.sort_by([("__stratum", "ascending"), ("score", "descending")])
+    names = rows.column("__stratum").to_pylist()
+    first, last = names[0], names[-1]
+    scores = rows.filter(pc.equal(rows.column("__stratum"), last)).column("score").to_numpy()
+    starts = [0]
+    if first == last:
+        near = np.flatnonzero(scores[0] - scores <= RANK_TOLERANCE)
+        starts = [i for i in range(len(near) + 1) if i < len(scores) and (i == 0 or scores[i] != scores[i - 1])]
+    found = []
+    for start in starts:
+        heads = list(_next_heads(scores, start))
+        found.append({"score": float(scores[start]), "head": float(scores[heads[-1]]), "heads": len(heads)})
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("head", pa.float64()), ("heads", pa.int64())]))
+    return pa.table({"slice": rows.column("slice").slice(0, 1), "first": [first], "last": [last], "starts": pa.array([found], kind)})
+
+
+def _slice_ranks(before: dict[int, tuple[float, int]], by: tuple[str, ...]):
+    def rank(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("__stratum", "ascending"), ("score", "descending"), ("model_id", "ascending")])
+        names, scores = rows.column("__stratum").to_numpy(zero_copy_only=False), rows.column("score").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+        ranks = np.empty(len(rows), np.int32)
+        entry = before.get(rows.column("slice")[0].as_py())
+        for a, b in zip(edges[:-1], edges[1:]):
+            own, rank, at = scores[a:b], 0, 0
+            if entry is not None and a == 0:
+                head, rank = entry
+                at = int(np.argmax(head - own > RANK_TOLERANCE)) if head - own[-1] > RANK_TOLERANCE else len(own)
+                ranks[a : a + at] = rank
+            heads = [*_next_heads(own, at), len(own)]
+            for x, y in zip(heads[:-1], heads[1:]):
+                rank += 1
+                ranks[a + x : a + y] = rank
+        return rows.select([*by, "model_id", "score"]).append_column("rank", pa.array(ranks))
+
+    return rank
+
+
 def dense_ranks(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranks 1, 2, ... per stratum. A score shares the rank of the head of its group when it lies within the
-    tolerance of that head, which chains of close scores do not. A stratum has one entry per model."""
-    listed = scores.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model_id"))).alias("sorted")
-    )
-    start = F.struct(
-        F.lit(None).cast("double").alias("head"),
-        F.lit(0).alias("rank"),
-        F.array().cast("array<struct<model_id:string,score:double,rank:int>>").alias("done"),
-    )
-
-    def place(state: Column, item: Column) -> Column:
-        joins = state["head"].isNotNull() & (F.abs(item["s"] - state["head"]) <= RANK_TOLERANCE)
-        rank = F.when(joins, state["rank"]).otherwise(state["rank"] + 1)
-        entry = F.struct(item["model_id"].alias("model_id"), (-item["s"]).alias("score"), rank.alias("rank"))
-        return F.struct(
-            F.when(joins, state["head"]).otherwise(item["s"]).alias("head"),
-            rank.alias("rank"),
-            F.concat(state["done"], F.array(entry)).alias("done"),
-        )
+    tolerance of that head, which chains of close scores do not.
 
-    done = F.aggregate("sorted", start, place, lambda state: state["done"])
-    return listed.select(*by, F.inline(done))
+    Scores are dealt to slices in their order. What a slice makes of the head that comes into it is summed up in a few
+    numbers; these are followed from slice to slice, one row each, and then all slices rank their scores at once.
+    """
+    stratum = F.to_json(F.struct(*[F.col(name) for name in by])) if by else F.lit("all")
+    rows = scores.select(*by, stratum.alias("__stratum"), "model_id", F.col("score").cast("double").alias("score"))
+    sliced = stored(rows.repartitionByRange("__stratum", F.desc("score"), "model_id").withColumn("slice", F.spark_partition_id()))
+    kind = "slice int, first string, last string, starts array<struct<score: double, head: double, heads: long>>"
+    entries: dict[int, tuple[float, int]] = {}
+    running: tuple[str, float, int] | None = None
+    for end in sorted(sliced.groupBy("slice").applyInArrow(_slice_ends, kind).collect(), key=lambda row: row["slice"]):
+        chosen, head, rank = end["starts"][0], None, 0
+        if running is not None and running[0] == end["first"]:
+            _, head, rank = running
+            entries[end["slice"]] = head, rank
+        if end["first"] == end["last"] and head is not None:
+            chosen = next((s for s in end["starts"] if head - s["score"] > RANK_TOLERANCE), None)
+        elif end["first"] != end["last"]:
+            rank = 0
+        running = (end["last"], head, rank) if chosen is None else (end["last"], chosen["head"], rank + chosen["heads"])
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{name}` {fields[name]}" for name in [*by, "model_id", "score"]) + ", rank int"
+    return sliced.groupBy("slice").applyInArrow(_slice_ranks(entries, by), schema)
 
 
 def gauge_check(fits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,160 +1,236 @@
-"""Fits with more models than a dense solve can hold: counts stay distributed, gradients are grouped sums.
-
-Only the score vector (one number per model) lives on the driver between rounds, as in any distributed
-L-BFGS.
+"""Fits with more models than a dense solve can hold, for any number of strata in one loop.
+
+The optimizer's state is a table with one row per (stratum, model): position, gradient and the last MEMORY steps and gradient
+changes; the log tie parameter is the row of the empty model id. A round is one grouped sum over model pairs for all
+strata (objective and gradients at their trial points) and one for the inner products of the state's vectors. The
+limited-memory direction is a combination of those vectors, whose coefficients follow from the inner products alone, so
+what a stratum needs beyond its rows is a small matrix, and no vector or list of ids is ever on the driver.
+Strata search their steps independently and leave the loop when they are done. Positions are measured in units that make
+the curvature of every coordinate about one (two over the root of a model's battles), so that few rounds are needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairpref.operators.estimate import (
-    EstimatorConfig,
-    dropped_models,
-    fits_schema,
-    likelihood_rows,
-    models_of,
-    tie_support,
-)
+from pairpref.operators.estimate import RESULT, EstimatorConfig, dense_ranks, dropped_models, likelihood_rows, models_of, tie_support
 from pairpref.operators.graph import graph_facts, strongly_connected
-from pairpref.operators.kernel import dense_ranks, gradient, objective
 from pairpref.schema import A_WIN, TIE
-from pairpref.session import broadcast_if_small, cut
+from pairpref.session import BROADCAST_ROWS, stored
+
+MEMORY, HALVINGS = 6, 40
+BASIS = 2 * MEMORY + 1  # steps, gradient changes, gradient
+ENTRIES = [(i, j) for i in range(BASIS) for j in range(i + 1)]
+NO_MODEL = ""  # the row of the log tie parameter
+KEYS = "__stratum string, value double, total double, share double, iteration int, halvings int, history int, status string"
+
 
-MEMORY = 12  # pairs of steps the quasi-Newton update remembers
-MAX_MODELS = 20_000_000  # the driver holds a few vectors of this length
+def _stratum(by: tuple[str, ...]) -> Column:
+    return F.to_json(F.struct(*[F.col(name) for name in by])) if by else F.lit("all")
 
 
-def _indexed(cells: DataFrame, config: EstimatorConfig) -> tuple[DataFrame, list[str]]:
-    """(i, j, won, lost, tied) per unordered pair with positions in the sorted model list."""
-    ids = [row["model_id"] for row in models_of(cells).orderBy("model_id").collect()]
-    spark = cells.sparkSession
-    index = cut(spark.createDataFrame(pd.DataFrame({"model_id": ids, "position": range(len(ids))}), "model_id string, position int"))
-    index = broadcast_if_small(index)
-    used = likelihood_rows(cells, config)
+def _pairs(used: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(stratum, low, high, won, lost, tied) per unordered pair; ``won`` counts for the smaller id."""
     low, high = F.least("model_a_id", "model_b_id"), F.greatest("model_a_id", "model_b_id")
     tie = F.col("canonical_outcome") == TIE
     low_won = ~tie & ((F.col("canonical_outcome") == A_WIN) == (F.col("model_a_id") == low))
     count = lambda chosen, name: F.sum(F.when(chosen, F.col("n")).otherwise(0)).cast("double").alias(name)
-    pairs = used.groupBy(low.alias("low"), high.alias("high")).agg(
+    return used.groupBy(_stratum(by).alias("__stratum"), low.alias("low"), high.alias("high")).agg(
         count(low_won, "won"), count(~tie & ~low_won, "lost"), count(tie, "tied")
     )
-    side = lambda name, position: index.select(F.col("model_id").alias(name), F.col("position").alias(position))
-    return cut(pairs.join(side("low", "i"), "low").join(side("high", "j"), "high").drop("low", "high")), ids
-
-
-def _evaluate(pairs: DataFrame, theta: np.ndarray, log_nu: float) -> tuple[float, np.ndarray, float]:
-    """Objective and gradient at a point: partial sums per task, then one grouped sum."""
-    point = pairs.sparkSession.sparkContext.broadcast((theta, log_nu))
-
-    def partial(batches):
-        by_model, by_tie, value = None, 0.0, 0.0
-        scores, nu = point.value
-        for pdf in batches:
-            counts = [pdf[name].to_numpy() for name in ("i", "j", "won", "lost", "tied")]
-            slope, tie_slope = gradient(scores, nu, *counts)
-            by_model = slope if by_model is None else by_model + slope
-            by_tie += tie_slope
-            value += objective(scores, nu, *counts)
-        if by_model is not None:
-            touched = np.flatnonzero(by_model)
-            yield pd.DataFrame({
-                "position": np.concatenate([touched, [-1, -2]]).astype("int64"),
-                "value": np.concatenate([by_model[touched], [by_tie, value]]),
-            })
-
-    parts = pairs.mapInPandas(partial, "position bigint, value double")
-    sums = parts.groupBy("position").agg(F.sum("value").alias("value")).toPandas()
-    point.unpersist()
-    position, value = sums["position"].to_numpy(), sums["value"].to_numpy()
-    slope = np.zeros(len(theta))
-    slope[position[position >= 0]] = value[position >= 0]
-    return float(value[position == -2][0]), slope, float(value[position == -1][0])
-
-
-def _minimise(pairs: DataFrame, k: int, ties: bool, config: EstimatorConfig):
-    """Limited-memory quasi-Newton from zero; with ties the last coordinate is the log tie parameter."""
-    size = k + 1 if ties else k
-    x, history = np.zeros(size), []
-
-    def at(point: np.ndarray) -> tuple[float, np.ndarray]:
-        value, slope, tie_slope = _evaluate(pairs, point[:k], point[k] if ties else -np.inf)
-        return value, np.append(slope, tie_slope)[:size]
-
-    value, slope = at(x)
-    total = pairs.agg(F.sum(F.col("won") + F.col("lost") + F.col("tied"))).first()[0]
-    for iteration in range(config.max_iterations):
-        if np.abs(slope).max() <= config.tolerance * max(1.0, total):
-            return x, value, iteration, True
-        direction, weights = slope.copy(), []
-        for step, change in reversed(history):
-            weight = step @ direction / (step @ change)
-            direction -= weight * change
-            weights.append(weight)
-        if history:
-            step, change = history[-1]
-            direction *= (step @ change) / (change @ change)
-        else:
-            direction /= max(np.abs(slope).max(), 1.0)
-        for (step, change), weight in zip(history, reversed(weights)):
-            direction += step * (weight - change @ direction / (step @ change))
-        share, drop = 1.0, slope @ direction
-        for _ in range(40):
-            new = x - share * direction
-            new_value, new_slope = at(new)
-            if new_value <= value - 1e-4 * share * drop + 1e-12 * abs(value):
-                break
-            share *= 0.5
-        else:
-            return x, value, config.max_iterations, False
-        step, change = new - x, new_slope - slope
-        if step @ change > 0:
-            history = [*history, (step, change)][-MEMORY:]
-        x, value, slope = new, new_value, new_slope
-    return x, value, config.max_iterations, False
 
 
-def fit_large(cells: DataFrame, config: EstimatorConfig, keys: dict[str, Any]) -> DataFrame:
-    """One result row, as from the grouped fit."""
+def _slopes(pairs: DataFrame, trial: DataFrame) -> DataFrame:
+    """(stratum, model, slope, value): gradient at the points ``trial`` (stratum, model, t), and shares of the objective."""
+    side = lambda name: trial.where(F.col("model") != NO_MODEL).select("__stratum", F.col("model").alias(name), F.col("t").alias(f"t_{name}"))
+    nu = trial.where(F.col("model") == NO_MODEL).select("__stratum", F.col("t").alias("log_nu"))
+    at = pairs.join(side("low"), ["__stratum", "low"]).join(side("high"), ["__stratum", "high"]).join(nu, "__stratum", "left")
+    a, b, n = F.col("t_low"), F.col("t_high"), F.col("won") + F.col("lost") + F.col("tied")
+    at = at.withColumn("c", F.coalesce(F.col("log_nu") + 0.5 * (a + b), F.lit(float("-inf"))))
+    at = at.withColumn("top", F.greatest(a, b, "c"))
+    at = at.withColumn("ls", F.col("top") + F.log(F.exp(a - F.col("top")) + F.exp(b - F.col("top")) + F.exp(F.col("c") - F.col("top"))))
+    tied = n * F.exp(F.col("c") - F.col("ls"))
+    part = lambda model, slope, value: F.struct(model.alias("model"), slope.alias("slope"), value.alias("value"))
+    chosen = F.col("won") * a + F.col("lost") * b + F.when(F.col("tied") > 0, F.col("tied") * F.col("c")).otherwise(0.0)
+    parts = F.array(
+        part(F.col("low"), n * F.exp(a - F.col("ls")) + 0.5 * tied - F.col("won") - 0.5 * F.col("tied"), n * F.col("ls") - chosen),
+        part(F.col("high"), n * F.exp(b - F.col("ls")) + 0.5 * tied - F.col("lost") - 0.5 * F.col("tied"), F.lit(0.0)),
+        part(F.when(F.col("log_nu").isNotNull(), F.lit(NO_MODEL)), tied - F.col("tied"), F.lit(0.0)),
+    )
+    rows = at.select("__stratum", F.inline(parts)).where("model is not null")
+    return rows.groupBy("__stratum", "model").agg(F.sum("slope").alias("slope"), F.sum("value").alias("value"))
+
+
+def _direction(products: np.ndarray, history: int) -> np.ndarray:
+    """Coefficients of the quasi-Newton direction over steps, changes and gradient, by the two-loop recursion."""
+    weights, alpha = np.zeros(BASIS), np.zeros(MEMORY)
+    weights[-1] = -1.0
+    recent = range(MEMORY - history, MEMORY)
+    for i in reversed(recent):
+        alpha[i] = weights @ products[:, i] / products[i, MEMORY + i]
+        weights[MEMORY + i] -= alpha[i]
+    newest = MEMORY - 1
+    weights *= products[newest, MEMORY + newest] / products[MEMORY + newest, MEMORY + newest] if history else 1.0
+    for i in recent:
+        weights[i] += alpha[i] - weights @ products[:, MEMORY + i] / products[i, MEMORY + i]
+    return weights
+
+
+def _planned(config: EstimatorConfig):
+    """Adds to KEYS rows with inner products: direction weights, its slope, and the status of those that are done."""
+
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            weights, slopes, statuses = [], [], []
+            for row in frame.itertuples(index=False):
+                products = np.zeros((BASIS, BASIS))
+                products[tuple(zip(*ENTRIES))] = row.products
+                products = products + np.tril(products, -1).T
+                if row.steep <= config.tolerance * max(1.0, row.total):
+                    status = "SUCCESS"
+                elif not np.isfinite(row.steep) or row.halvings > HALVINGS or row.iteration >= config.max_iterations:
+                    status = "OPTIMIZATION_FAILED"
+                else:
+                    status = None
+                own = _direction(products, row.history) if status is None else np.zeros(BASIS)
+                weights.append(own)
+                slopes.append(float(own @ products[:, -1]))
+                statuses.append(status)
+            names = [part.split()[0] for part in KEYS.split(", ")]
+            yield frame[names].assign(status=pd.Series(statuses, dtype=object).to_numpy(), weights=weights, slope=slopes)
+
+    return plan
+
+
+def _minimised(pairs: DataFrame, points: DataFrame, totals: DataFrame, config: EstimatorConfig) -> tuple[DataFrame, DataFrame]:
+    """(stratum, model, x) at the optimum and (stratum, status, iteration, value) for every stratum.
+
+    ``points``: (stratum, model, unit) of all parameters; ``totals``: (stratum, total), likelihood rows.
+    """
+    zeros = F.array_repeat(F.lit(0.0), 2 * MEMORY)
+    first = stored(_slopes(pairs, points.select("__stratum", "model", F.lit(0.0).alias("t"))))
+    slope = (F.coalesce("slope", F.lit(0.0)) * F.col("unit")).alias("g")
+    state = stored(points.join(first, ["__stratum", "model"], "left").select("__stratum", "model", "unit", F.lit(0.0).alias("x"), slope, zeros.alias("basis")))
+    keys = stored(first.groupBy("__stratum").agg(F.sum("value").alias("value")).join(totals, "__stratum").select(
+        "__stratum", "value", F.col("total").cast("double").alias("total"), F.lit(1.0).alias("share"), F.lit(0).alias("iteration"),
+        F.lit(0).alias("halvings"), F.lit(0).alias("history"), F.lit(None).cast("string").alias("status"),
+    ))
+    few = keys.count() <= BROADCAST_ROWS
+    per_stratum = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    vector = F.concat("basis", F.array("g"))
+    done_states, done_keys = [], []
+    while True:
+        products = F.array(*[F.sum(vector[i] * vector[j]) for i, j in ENTRIES]).alias("products")
+        found = state.groupBy("__stratum").agg(products, F.max(F.abs(F.col("g") / F.col("unit"))).alias("steep"))
+        planned = stored(keys.join(found, "__stratum").mapInPandas(_planned(config), KEYS + ", weights array<double>, slope double"))
+        left = planned.groupBy().agg(F.count_if(F.col("status").isNull()).alias("open"), F.count_if(F.col("status").isNotNull()).alias("done")).first()
+        if left["done"]:
+            over = planned.where("status is not null").select("__stratum", "status", "iteration", "value")
+            done_keys.append(over)
+            done_states.append(state.join(over.select("__stratum"), "__stratum").select("__stratum", "model", (F.col("x") * F.col("unit")).alias("x")))
+        if not left["open"]:
+            break
+        going = per_stratum(planned.where("status is null"))
+        move = F.aggregate(F.zip_with(vector, "weights", lambda v, w: v * w), F.lit(0.0), lambda total, term: total + term)
+        trial = state.join(going, "__stratum").withColumn("step", F.col("share") * move).withColumn("t", F.col("x") + F.col("step"))
+        at = trial.select("__stratum", "model", (F.col("t") * F.col("unit")).alias("t"))
+        slopes = stored(_slopes(pairs.join(going.select("__stratum"), "__stratum", "left_semi"), at))
+        moved = trial.select("__stratum", "model", "unit", "x", "g", "basis", "step", "t").join(
+            slopes.select("__stratum", "model", F.col("slope").alias("new_slope")), ["__stratum", "model"], "left"
+        ).withColumn("new_g", F.coalesce("new_slope", F.lit(0.0)) * F.col("unit")).withColumn("change", F.col("new_g") - F.col("g"))
+        values = slopes.groupBy("__stratum").agg(F.sum("value").alias("new_value"))
+        curved = moved.groupBy("__stratum").agg((F.sum(F.col("step") * F.col("change")) > 0).alias("curved"))
+        enough = F.col("new_value") <= F.col("value") + 1e-4 * F.col("share") * F.col("slope") + 1e-12 * F.abs("value")
+        judged = planned.where("status is null").join(values, "__stratum").join(curved, "__stratum").withColumn("good", F.coalesce(enough, F.lit(False)))
+        keep = lambda name, value: F.when(F.col("good"), value).otherwise(F.col(name)).alias(name)
+        judged = stored(judged.select(
+            "__stratum", keep("value", F.col("new_value")), "total", F.when(F.col("good"), 1.0).otherwise(F.col("share") / 2).alias("share"),
+            keep("iteration", F.col("iteration") + 1), F.when(F.col("good"), 0).otherwise(F.col("halvings") + 1).alias("halvings"),
+            F.when(F.col("good") & F.col("curved"), F.least(F.col("history") + 1, F.lit(MEMORY))).otherwise(F.col("history")).alias("history"),
+            "status", "good", (F.col("good") & F.col("curved")).alias("learnt"),
+        ))
+        flags = per_stratum(judged.select("__stratum", "good", "learnt"))
+        shifted = F.concat(F.slice("basis", 2, MEMORY - 1), F.array("step"), F.slice("basis", MEMORY + 2, MEMORY - 1), F.array("change"))
+        state = stored(moved.join(flags, "__stratum").select(
+            "__stratum", "model", "unit", keep("x", F.col("t")), keep("g", F.col("new_g")),
+            F.when(F.col("learnt"), shifted).otherwise(F.col("basis")).alias("basis"),
+        ))
+        keys = judged.drop("good", "learnt")
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    return union(done_states), union(done_keys)
+
+
+def fit_many(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """One result row per stratum, as from the grouped fit, whatever the number of strata and of their models."""
     ties = config.estimator != "bradley_terry_decisive"
-    used = likelihood_rows(cells, config)
-    spark = cells.sparkSession
-    rows = cells.agg(F.sum("n")).first()[0]
-    out: dict[str, Any] = {"rows": rows, "likelihood_rows": used.agg(F.sum("n")).first()[0] or 0}
-    pairs, ids = _indexed(cells, config)
-    k = out["models"] = len(ids)
-    if k > MAX_MODELS:
-        raise ValueError(f"{k} models exceed the {MAX_MODELS} a score vector may hold")
-
-    def finish(status: str, **more: Any) -> DataFrame:
-        row = {"status": status, "model_ids": ids} | out | more | keys
-        schema = fits_schema(cells, tuple(keys))
-        names = [part.split("`")[1] for part in schema.split(", ")]
-        return spark.createDataFrame([tuple(row.get(name) for name in names)], schema)
-
-    if not out["likelihood_rows"]:
-        return finish("ZERO_LIKELIHOOD_ROWS")
-    if k < 2:
-        return finish("INSUFFICIENT_MODELS")
-    if not dropped_models(cells, config).isEmpty():
-        return finish("MODEL_DROPPED_BY_OUTCOME_POLICY")
-    facts = graph_facts(used, []).first()
-    out |= {"edges": facts["edge_count"], "components": facts["component_count"]}
-    if facts["component_count"] != 1:
-        return finish("DISCONNECTED_GRAPH")
-    if ties and not tie_support(cells, config).first()["identifiable"]:
-        return finish("UNIDENTIFIABLE_TIE_PARAMETER")
-    if not strongly_connected(used, [], ties=ties).first()["strongly_connected"]:
-        return finish("SEPARATION")
-    x, value, iterations, converged = _minimise(pairs, k, ties, config)
-    theta, nu = x[:k], float(np.exp(x[k])) if ties else None
-    out |= {"iterations": int(iterations), "objective": value}
-    if not converged:
-        return finish("OPTIMIZATION_FAILED")
-    theta = theta - theta.mean()
-    return finish("SUCCESS", tie_parameter=nu, scores=theta.tolist(), ranks=dense_ranks(theta).tolist())
+    used, keys = stored(likelihood_rows(cells, config)), list(by)
+    named = lambda df: df.withColumn("__stratum", _stratum(by))
+    models = stored(named(models_of(cells, by)).select("__stratum", *by, "model_id"))
+    facts = models.groupBy("__stratum", *by).agg(F.count(F.lit(1)).cast("int").alias("models"))
+    total = lambda df, name: named(df).groupBy("__stratum").agg(F.sum("n").alias(name))
+    facts = facts.join(total(cells, "rows"), "__stratum").join(total(used, "likelihood_rows"), "__stratum", "left")
+    lost = named(dropped_models(cells, config, by)).groupBy("__stratum").agg(F.lit(True).alias("dropped"))
+    graph = named(graph_facts(used, keys)).select("__stratum", F.col("edge_count").cast("int").alias("edges"), F.col("component_count").cast("int").alias("components"))
+    strong = named(strongly_connected(used, keys, ties=ties)).select("__stratum", "strongly_connected")
+    tied = named(tie_support(cells, config, by)).select("__stratum", "identifiable")
+    for more in (lost, graph, strong, tied):
+        facts = facts.join(more, "__stratum", "left")
+    status = (
+        F.when(F.coalesce("likelihood_rows", F.lit(0)) == 0, "ZERO_LIKELIHOOD_ROWS")
+        .when(F.col("models") < 2, "INSUFFICIENT_MODELS")
+        .when(F.col("dropped"), "MODEL_DROPPED_BY_OUTCOME_POLICY")
+        .when(F.col("components") != 1, "DISCONNECTED_GRAPH")
+        .when(F.lit(ties) & ~F.col("identifiable"), "UNIDENTIFIABLE_TIE_PARAMETER")
+        .when(~F.col("strongly_connected"), "SEPARATION")
+    )
+    facts = stored(facts.withColumn("guard", status).withColumn("likelihood_rows", F.coalesce("likelihood_rows", F.lit(0))))
+    fine = facts.where("guard is null").select("__stratum")
+    ids = models.groupBy("__stratum").agg(F.array_sort(F.collect_list("model_id")).alias("model_ids"))
+    if fine.isEmpty():
+        out = facts.join(ids, "__stratum").withColumn("status", F.col("guard"))
+        return _result(out, by)
+    pairs = stored(_pairs(used, by).join(fine, "__stratum", "left_semi"))
+    battles = F.col("won") + F.col("lost") + F.col("tied")
+    both = pairs.select("__stratum", F.explode(F.array("low", "high")).alias("model"), battles.alias("n"))
+    if ties:
+        both = both.unionByName(pairs.select("__stratum", F.lit(NO_MODEL).alias("model"), battles.alias("n")))
+    points = both.groupBy("__stratum", "model").agg((2 / F.sqrt(F.sum("n"))).alias("unit"))
+    totals = facts.select("__stratum", F.col("likelihood_rows").alias("total"))
+    states, over = _minimised(pairs, stored(points), totals, config)
+    states = stored(states)
+    own = states.where(F.col("model") != NO_MODEL)
+    middle = own.groupBy("__stratum").agg(F.avg("x").alias("middle"))
+    scores = own.join(middle, "__stratum").select(F.col("__stratum").alias("fit"), F.col("model").alias("model_id"), (F.col("x") - F.col("middle")).alias("score"))
+    ranked = dense_ranks(stored(scores), ("fit",))
+    listed = ranked.groupBy(F.col("fit").alias("__stratum")).agg(F.array_sort(F.collect_list(F.struct("model_id", "score", "rank"))).alias("m"))
+    nu = states.where(F.col("model") == NO_MODEL).select("__stratum", F.exp("x").alias("tie_parameter"))
+    done = over.join(listed, "__stratum").join(nu, "__stratum", "left").select("__stratum", F.col("status").alias("end"), "iteration", "value", "m", "tie_parameter")
+    good = F.col("end") == "SUCCESS"
+    out = facts.join(ids, "__stratum").join(done, "__stratum", "left").select(
+        *[c for c in facts.columns], "model_ids", F.coalesce("guard", "end").alias("status"), F.col("iteration").alias("iterations"),
+        F.col("value").alias("objective"), F.when(good, F.col("tie_parameter")).alias("tie_parameter"),
+        F.when(good, F.col("m.score")).alias("scores"), F.when(good, F.col("m.rank")).alias("ranks"),
+    )
+    return _result(out, by)
+
+
+def _result(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    have = set(rows.columns)
+    shown = [(F.col(name) if name in have else F.lit(None)).cast(kind).alias(name) for name, kind in RESULT]
+    # What a guard stops early is not known about its stratum, as in the grouped fit.
+    early = {"edges": ("ZERO_LIKELIHOOD_ROWS", "INSUFFICIENT_MODELS", "MODEL_DROPPED_BY_OUTCOME_POLICY")}
+    early["components"] = early["edges"]
+    frame = rows.select(*by, *shown)
+    return frame.withColumns({name: F.when(~F.col("status").isin(*codes), F.col(name)) for name, codes in early.items()})
+
+
+def fit_large(cells: DataFrame, config: EstimatorConfig, keys: dict[str, Any]) -> DataFrame:
+    """One result row for the cells of one stratum, named by ``keys``."""
+    found = fit_many(cells.drop(*keys), config)
+    return found.withColumns({name: F.lit(value) for name, value in keys.items()}) if keys else found

@@ -20,7 +20,7 @@ from pairpref.operators.estimate import (
 from pairpref.operators.graph import components, graph_facts, strongly_connected
 from pairpref.operators.kernel import dense_ranks as kernel_ranks
 from pairpref.operators.kernel import gradient, objective
-from pairpref.operators.largefit import fit_large
+from pairpref.operators.largefit import fit_large, fit_many
 from pairpref.schema import A_WIN, B_WIN, BOTH_BAD, TIE, UNKNOWN
 from pairpref.session import cut
 
@@ -100,7 +100,15 @@ FAILURES = [
 def test_status_codes(spark, config, rows, status):
     cells = cells_of(spark, *rows)
     assert fit_cells(cells, config).first()["status"] == status
-    assert fit_large(cells, config, {}).first()["status"] == status
+
+
+@pytest.mark.parametrize("config", [BT, DAVIDSON])
+def test_status_codes_of_the_loop_for_many_models(spark, config):
+    """All cases of one policy as strata of one call."""
+    cases = [(str(i), rows, status) for i, (own, rows, status) in enumerate(FAILURES) if own is config]
+    rows = [(*row, case) for case, counts, _ in cases for row in counts]
+    cells = cut(spark.createDataFrame(rows, "model_a_id string, model_b_id string, canonical_outcome string, n long, case string"))
+    assert {r["case"]: r["status"] for r in fit_many(cells, config, ("case",)).collect()} == {case: status for case, _, status in cases}
 
 
 def test_input_codes(spark):
