@@ -13,7 +13,7 @@ from pairpref.catalog.populations import summary_sql
 from pairpref.catalog.tables import CLEANED, LEADERBOARD, canonical_table, cleaned, population_sql
 from pairpref.catalog.uncertainty import SCORES, points, scores
 from pairpref.fixtures import PROVENANCE, table
-from pairpref.functions.identity import canonical_json
+from pairpref.functions.identity import canonical_json, label_seed
 from pairpref.operators.bootstrap import BootstrapConfig
 from pairpref.operators.estimate import EstimatorConfig
 from pairpref.operators.leaderboard import proportions
@@ -22,14 +22,16 @@ from pairpref.plans.formal import RunConfig, run_analysis
 from pairpref.schema import ARENA_BATTLE
 from pairpref.session import ensure_checkpoint_dir
 from pairpref.sources import files
-from pairpref.sources.relational import arena_tables, shaped
+from pairpref.sources.relational import arena_tables, save_tables, shaped
 from pairpref.sources.runs import (
     Manifest,
+    RunError,
     consistency_violations,
+    load_runs,
     manifest_violations,
     registry_differences,
     run_id_for,
-    verify_run,
+    verify_runs,
     write_run,
 )
 
@@ -51,19 +53,48 @@ def csv_round_trip(spark, sf):
     return back.select("page_id", "url", F.length("html").cast("bigint").alias("html_chars"), F.md5("html").alias("html_md5"))
 
 
-@query("s03_source_hash")
+BUCKETS = 40
+_FILES = f"""
+with f as (select 'bucket=' || page_id % {BUCKETS} path, string_agg(replace(coalesce(html, ''), chr(10), ' '), chr(10) order by page_id) || chr(10) text
+  from pages group by page_id % {BUCKETS}),
+files as (select path, octet_length(encode(text))::bigint size_bytes, sha256(text) sha256 from f)
+"""
+
+
+def page_files(spark, sf):
+    """A folder with one text file per bucket of pages, each page a line, in shared storage."""
+    pages = table(spark, sf, "pages").select(
+        (F.col("page_id") % BUCKETS).alias("bucket"), "page_id", F.translate(F.coalesce("html", F.lit("")), "\n", " ").alias("line"))
+    lines = pages.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "line")
+    path = scratch(spark)
+    lines.write.partitionBy("bucket").text(path)
+    return path
+
+
+def _by_folder(found):
+    """File names are the writer's own; the folder of each file is known."""
+    return found.withColumn("path", F.substring_index("path", "/", 1))
+
+
+@query("s03_source_hash", _FILES + """
+select path, sha256, true accepted, true other_refused from files where path in ('bucket=0', 'bucket=1')
+union all select 'folder', null, true, true from (select count(*) n from files) where n > 0""")
 def source_hash(spark, sf):
-    """The hash gate accepts the file's own hash and refuses another."""
-    path = f"{sf}/orders.parquet"
-    found = files.inventory(spark, path)
-    declared = found.first()["sha256"]
-    files.check_source(spark, path, declared)
-    try:
-        files.check_source(spark, path, "0" * 64)
-        refused = False
-    except ValueError:
-        refused = True
-    return found.select("size_bytes", "sha256", F.lit(refused).alias("refuses_other_hash"))
+    """The hash gate accepts a file by its own hash and a folder of files by its digest, and refuses another hash."""
+    path = page_files(spark, sf)
+    rows = []
+    for name, place in (("bucket=0", f"{path}/bucket=0"), ("bucket=1", f"{path}/bucket=1"), ("folder", path)):
+        if name != "folder":  # the one file in it
+            place = spark.read.format("binaryFile").load(f"{place}/*.txt").select("path").first()["path"]
+        declared, accepted = files.source_hash(spark, place), True
+        files.check_source(spark, place, declared)
+        try:
+            files.check_source(spark, place, "0" * 64)
+            refused = False
+        except ValueError:
+            refused = True
+        rows.append((name, declared if name != "folder" else None, accepted, refused))
+    return spark.createDataFrame(rows, "path string, sha256 string, accepted boolean, other_refused boolean")
 
 
 @query("s04_csv_sink", LEADERBOARD + "select model_name, battle_count, win_count, lose_count, tie_count from leaderboard")
@@ -74,13 +105,39 @@ def csv_sink(spark, sf):
     return files.read_csv(spark, path, rows.schema).select("model_name", "battle_count", "win_count", "lose_count", "tie_count")
 
 
-@query("s05_relational_tables", LEADERBOARD + """
-select model_name, battle_count, score from leaderboard""")
-def relational_tables(spark, sf):
-    """The frames handed to the relational sink, in its column order and types."""
+def _tables(spark, sf):
     rows = cleaned(spark, sf)
-    tables = arena_tables(rows, statistics(spark, sf), proportions(rows, "topic_name"))
-    return tables["model_statistics"].select("model_name", "battle_count", "score")
+    return arena_tables(rows, statistics(spark, sf), proportions(rows, "topic_name"))
+
+
+@query("s05_relational_tables", f"""
+select 'model_statistics' "table", * from ({LEADERBOARD} select model_name "name", battle_count::bigint "rows", round(score::double, 6) "value" from leaderboard)
+union all select 'topic_statistics', * from ({CLEANED} select topic_name, count(*)::bigint, round(count(*) / (select count(*) from cleaned), 6) from cleaned group by 1)
+union all select 'arena_battle', * from ({CLEANED} select winner, count(*)::bigint, null::double from cleaned group by 1)""")
+def relational_tables(spark, sf):
+    """The three frames handed to the relational sink, each by what names its rows."""
+    tables = _tables(spark, sf)
+    battles, models, topics = (tables[name] for name in ("arena_battle", "model_statistics", "topic_statistics"))
+    rows = lambda name, df: df.withColumn("table", F.lit(name))
+    return (
+        rows("model_statistics", models.select(F.col("model_name").alias("name"), F.col("battle_count").cast("bigint").alias("rows"), F.round(F.col("score").cast("double"), 6).alias("value")))
+        .unionByName(rows("topic_statistics", topics.select(F.col("topic_name").alias("name"), F.col("count").alias("rows"), F.round("proportion", 6).alias("value"))))
+        .unionByName(rows("arena_battle", battles.groupBy(F.col("winner").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("value"))))
+    )
+
+
+@query("s07_saved_tables", f"""
+select model_name, battle_count, coalesce(as_model_a, 0)::bigint as_model_a
+from ({LEADERBOARD} select model_name, battle_count::bigint battle_count from leaderboard)
+left join ({CLEANED} select model_a, count(*) as_model_a from cleaned group by 1) on model_a = model_name""")
+def saved_tables(spark, sf):
+    """Bucketed saved tables, joined on the model they are bucketed by."""
+    prefix = f"t_{uuid.uuid4().hex}_"
+    tables = {name: frame for name, frame in _tables(spark, sf).items() if name != "topic_statistics"}
+    save_tables(tables, prefix=prefix, buckets=8, folder=scratch(spark))
+    battles, models = spark.table(f"{prefix}arena_battle"), spark.table(f"{prefix}model_statistics")
+    joined = models.join(battles, F.col("model_a") == F.col("model_name"), "left")
+    return joined.groupBy("model_name", F.col("battle_count").cast("bigint").alias("battle_count")).agg(F.count("model_a").alias("as_model_a"))
 
 
 _STORED_VALUES = {f.name: f"count({f.name})" for f in ARENA_BATTLE} | {
@@ -114,15 +171,48 @@ def registry(spark, sf):
     return registry_differences(registered, found)
 
 
-@query("s09_inventory")
+@query("s08_load_runs", population_sql(judge=True) + """,
+m as (select count(*) k from (select model_a_id from eligible union select model_b_id from eligible))
+select unnest(['as registered', 'one missing', 'one extra', 'one altered']) "case",
+  unnest(['OK', 'RUN_SET_MISMATCH', 'RUN_SET_MISMATCH', 'ARTIFACT_CONSISTENCY_ERROR']) "code", unnest([6 * k, null, null, null])::bigint score_rows from m""")
+def loaded_runs(spark, sf):
+    """Two stored runs of three replicates loaded as registered, with one missing, one extra and one altered."""
+    root, battles = scratch(spark), canonical_table(spark, sf)
+    runs = []
+    for seed in (7, 8):
+        config = RunConfig(f"seed-{seed}", BootstrapConfig(3, seed, estimator=EstimatorConfig("davidson")), JUDGE_CLUSTER_RESEARCH)
+        run = run_analysis(battles, PROVENANCE, config, commit="c" * 40, branch="main")
+        write_run(spark, root, run.run_id, run.tables)
+        runs.append(run.run_id)
+    rows = []
+    for case, ids in (("as registered", runs), ("one missing", [*runs, "f" * 64]), ("one extra", runs[:1]), ("one altered", runs)):
+        if case == "one altered":
+            spark.range(1).write.mode("append").parquet(f"{root}/scores/run_id={runs[0]}")
+        try:
+            rows.append((case, "OK", load_runs(spark, root, ids)["scores"].count()))
+        except RunError as error:
+            rows.append((case, error.code, None))
+    return spark.createDataFrame(rows, "case string, code string, score_rows long")
+
+
+@query("s09_inventory", _FILES + "select path, size_bytes, sha256 from files")
 def file_inventory(spark, sf):
-    found = files.inventory(spark, sf, pattern="*.parquet")
-    return found.select("path", "size_bytes", "sha256")
+    return _by_folder(files.inventory(spark, page_files(spark, sf), pattern="*.txt")).select("path", "size_bytes", "sha256")
+
+
+FILES_DIGEST = _FILES + """,
+digests as (select count(*) files, sha256('[' || string_agg('{"path":"' || path || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}', ',' order by path) || ']') digest
+  from files)
+"""
+
+
+def digest_of_page_files(spark, sf):
+    return files.inventory_digest(_by_folder(files.inventory(spark, page_files(spark, sf), pattern="*.txt")))
 
 
-@query("s10_inventory_digest")
+@query("s10_inventory_digest", FILES_DIGEST + "select files, digest from digests")
 def inventory_digest(spark, sf):
-    return files.inventory_digest(files.inventory(spark, sf, pattern="*.parquet"))
+    return digest_of_page_files(spark, sf)
 
 
 @query("s11_closed_world", """
@@ -149,13 +239,15 @@ def closed_world(spark, sf):
 RUN = RunConfig("primary", BootstrapConfig(8, 7, estimator=EstimatorConfig("davidson")), JUDGE_CLUSTER_RESEARCH)
 
 
-@query("s06_run_store")
+@query("s06_run_store", """
+select unnest(['manifest', 'point', 'fits', 'scores', 'statuses', 'score_intervals', 'rank_summary', 'pairwise']) "table", 'ok' status, true present
+from (select count(*) n from orders) where n > 0""")
 def run_store(spark, sf):
     """A run written, published and verified: the status of each of its files by table."""
     run = run_analysis(canonical_table(spark, sf), PROVENANCE, RUN, commit="c" * 40, branch="main")
-    place = write_run(spark, scratch(spark), run.run_id, run.tables)
-    report = verify_run(spark, place)
-    names = report.select(F.substring_index("path", "/", 1).alias("table"), "status")
+    root = scratch(spark)
+    write_run(spark, root, run.run_id, run.tables)
+    names = verify_runs(spark, root, [run.run_id]).select(F.substring_index("path", "/", 1).alias("table"), "status")
     return names.groupBy("table", "status").agg((F.count(F.lit(1)) > 0).alias("present"))
 
 
@@ -234,11 +326,9 @@ def formal_run(spark, sf):
 @query("i04_seeds", """
 select n_name, ('0x' || substr(sha256('study|' || n_name || '|v1'), 1, 16))::ubigint::varchar seed from nation""")
 def seeds(spark, sf):
-    """A preregistered seed per subgroup."""
-    nation = table(spark, sf, "nation")
-    label = F.concat(F.lit("study|"), F.col("n_name"), F.lit("|v1"))
-    seed = F.conv(F.substring(F.sha2(label, 256), 1, 16), 16, 10)
-    return nation.select("n_name", seed.alias("seed"))
+    """A preregistered seed per subgroup, by the library's own rule."""
+    names = [row["n_name"] for row in table(spark, sf, "nation").select("n_name").distinct().collect()]
+    return spark.createDataFrame([(name, str(label_seed(f"study|{name}|v1"))) for name in names], "n_name string, seed string")
 
 
 @query("i05_consistency", SCORES + """

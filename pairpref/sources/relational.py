@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pairpref.schema import ARENA_BATTLE, MODEL_STATISTICS, TOPIC_STATISTICS
 
 BATCH_ROWS = 1000
+#: Bucket column and sort order of the saved tables that have a model.
+BUCKET_KEYS = {"arena_battle": ("model_a", "battle_date"), "model_statistics": ("model_name",)}
 SHAPES = {"arena_battle": ARENA_BATTLE, "model_statistics": MODEL_STATISTICS, "topic_statistics": TOPIC_STATISTICS}
 
 
@@ -29,12 +31,16 @@ def arena_tables(cleaned: DataFrame, statistics: DataFrame, topics: DataFrame) -
     return {name: shaped(frame, SHAPES[name]) for name, frame in frames.items()}
 
 
-def save_tables(tables: Mapping[str, DataFrame], *, prefix: str = "", buckets: int = 0) -> None:
-    """Saved tables. What an index would serve is served by bucketing and sorting on model_a."""
+def save_tables(tables: Mapping[str, DataFrame], *, prefix: str = "", buckets: int = 0, folder: str | None = None) -> None:
+    """Saved tables, as external ones below ``folder`` where it is given. What an index would serve is served by
+    bucketing and sorting on the model: tables of one number of buckets join on it without a shuffle."""
     for name, frame in tables.items():
         writer = frame.write.mode("overwrite").format("parquet")
-        if buckets and name == "arena_battle":
-            writer = writer.bucketBy(buckets, "model_a").sortBy("model_a", "battle_date")
+        key = BUCKET_KEYS.get(name)
+        if buckets and key:
+            writer = writer.bucketBy(buckets, key[0]).sortBy(*key)
+        if folder:
+            writer = writer.option("path", f"{folder}/{name}")
         writer.saveAsTable(f"{prefix}{name}")
 
 

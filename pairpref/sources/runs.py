@@ -161,6 +161,9 @@ def consistency_violations(manifests: DataFrame, fits: DataFrame, statuses: Data
 
 
 # --- storage -----------------------------------------------------------------------------------
+#
+# <root>/<table>/run_id=<id>/..., one folder a table, so that one scan reads any set of runs and skips the others. A run is
+# there once its inventory is: that is the last thing published, by one rename.
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -175,13 +178,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def stored_runs(spark: SparkSession, root: str) -> set[str]:
+    """Ids of the published runs."""
+    fs, hadoop = _file_system(spark, f"{root}/inventory")
+    names = [status.getPath().getName() for status in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    return {name.removeprefix("run_id=") for name in names if name.startswith("run_id=")}
+
+
 def write_run(spark: SparkSession, root: str, run_id: str, tables: Mapping[str, DataFrame]) -> str:
-    """Write the tables of one run to a staging place, verify them, then publish by one rename.
+    """Write the tables of one run to a staging place, verify them, then publish them, the inventory last.
 
-    A run that exists is never overwritten, and a half-written one is never visible.
+    A published run is never overwritten, and no reader sees one without its inventory. What a writer that died while
+    publishing has left is replaced by the next attempt.
     """
-    final, staging = f"{root}/run_id={run_id}", f"{root}/.staging-{run_id}"
-    if _exists(spark, final):
+    staging = f"{root}/.staging/run_id={run_id}"
+    if run_id in stored_runs(spark, root):
         raise RunError("RUN_ALREADY_EXISTS", run_id)
     if _exists(spark, staging):
         raise RunError("TEMP_RUN_ALREADY_EXISTS", run_id)
@@ -192,42 +203,53 @@ def write_run(spark: SparkSession, root: str, run_id: str, tables: Mapping[str,
     try:
         for name, table in tables.items():
             table.drop("run_id").write.mode("errorifexists").parquet(f"{staging}/{name}")
-        files = inventory(spark, staging, pattern="*.parquet")
-        files.withColumn("artifact_schema_version", F.lit(ARTIFACT_VERSION)).coalesce(1).write.parquet(f"{staging}/inventory")
-        verify_run(spark, staging)
-        if not fs.rename(staged, _file_system(spark, final)[1]):
-            raise RunError("ARTIFACT_WRITE_FAILED", run_id)
+        files = inventory(spark, staging, pattern="*.parquet").withColumn("artifact_schema_version", F.lit(ARTIFACT_VERSION))
+        files.coalesce(1).write.parquet(f"{staging}/inventory")
+        _require_ok(compare_inventories(spark.read.parquet(f"{staging}/inventory"), inventory(spark, staging, pattern="*.parquet", keep=TABLE_FILES)))
+        for name in (*RUN_TABLES, "inventory"):
+            target = _file_system(spark, f"{root}/{name}/run_id={run_id}")[1]
+            fs.mkdirs(target.getParent())
+            fs.delete(target, True)
+            if not fs.rename(_file_system(spark, f"{staging}/{name}")[1], target):
+                raise RunError("ARTIFACT_WRITE_FAILED", f"{run_id}: {name}")
+        fs.delete(staged, True)
     except RunError:
         fs.delete(staged, True)
         raise
     except Py4JJavaError as error:
         fs.delete(staged, True)
         raise RunError("ARTIFACT_WRITE_FAILED", str(error.java_exception)) from error
-    return final
+    return f"{root}/inventory/run_id={run_id}"
+
+
+TABLE_FILES = "path not like 'inventory/%'"
+
+
+def read_runs(spark: SparkSession, root: str, run_ids: Sequence[str], table: str) -> DataFrame:
+    """One table of the named runs in one scan; the folders of others are pruned."""
+    one = spark.read.parquet(f"{root}/{table}/run_id={run_ids[0]}").schema
+    schema = T.StructType([*one.fields, T.StructField("run_id", T.StringType())])  # ids are text, whatever they look like
+    return spark.read.schema(schema).parquet(f"{root}/{table}").where(F.col("run_id").isin(*run_ids))
+
 
+def verify_runs(spark: SparkSession, root: str, run_ids: Sequence[str]) -> DataFrame:
+    """(run_id, path, status) of every file of the named runs: one listing and one join for all of them."""
+    listed = ", ".join(f"'{run_id}'" for run_id in run_ids)
+    keep = rf"{TABLE_FILES} and regexp_extract(path, '^[^/]+/run_id=([^/]+)/', 1) in ({listed})"
+    found = inventory(spark, root, pattern="*.parquet", keep=keep)
+    declared = read_runs(spark, root, run_ids, "inventory")
+    placed = declared.withColumn("path", F.concat(F.substring_index("path", "/", 1), F.lit("/run_id="), "run_id", F.lit("/"), F.expr("substring(path, instr(path, '/') + 1)")))
+    report = compare_inventories(placed, found)
+    return report.select(F.regexp_extract("path", "/run_id=([^/]+)/", 1).alias("run_id"), "path", "status")
 
-def verify_run(spark: SparkSession, path: str) -> DataFrame:
-    """Compare the files of a run with its inventory; any difference is an error."""
-    declared = spark.read.parquet(f"{path}/inventory")
-    actual = inventory(spark, path, pattern="*.parquet").where(~F.col("path").startswith("inventory/"))
-    report = compare_inventories(declared, actual)
+
+def _require_ok(report: DataFrame) -> None:
     try:
-        wrong = report.where(F.col("status") != "ok").take(1)
+        wrong = report.where(F.col("status") != "ok").orderBy("path").take(1)
     except Py4JJavaError as error:  # the file system's own checksums may refuse an altered file first
         raise RunError("ARTIFACT_CONSISTENCY_ERROR", "a file can not be read back") from error
     if wrong:
         raise RunError("ARTIFACT_CONSISTENCY_ERROR", f"{wrong[0]['path']} is {wrong[0]['status']}")
-    return report
-
-
-def read_runs(spark: SparkSession, root: str, run_ids: Sequence[str], table: str) -> DataFrame:
-    """One table of the named runs; only their directories are listed and read."""
-    paths = [f"{root}/run_id={run_id}/{table}" for run_id in run_ids]
-    frames = [spark.read.parquet(path).withColumn("run_id", F.lit(run)) for path, run in zip(paths, run_ids)]
-    first, *rest = frames
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
 
 
 def registry_differences(registered: DataFrame, found: DataFrame) -> DataFrame:
@@ -239,13 +261,10 @@ def registry_differences(registered: DataFrame, found: DataFrame) -> DataFrame:
 
 def load_runs(spark: SparkSession, root: str, run_ids: Sequence[str]) -> dict[str, DataFrame]:
     """All tables of a closed set of runs. A missing, extra or altered run, or one with other models, is refused."""
-    fs, hadoop = _file_system(spark, root)
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop)]
-    present = {name.removeprefix("run_id=") for name in names if name.startswith("run_id=")}
+    present = stored_runs(spark, root)
     if present != set(run_ids):
         raise RunError("RUN_SET_MISMATCH", f"missing {sorted(set(run_ids) - present)}, extra {sorted(present - set(run_ids))}")
-    for run_id in run_ids:
-        verify_run(spark, f"{root}/run_id={run_id}")
+    _require_ok(verify_runs(spark, root, run_ids))
     tables = {name: read_runs(spark, root, run_ids, name) for name in RUN_TABLES}
     if not manifest_violations(tables["manifest"]).isEmpty():
         raise RunError("MANIFEST_INVALID", "a run id does not follow from its manifest")
@@ -253,4 +272,3 @@ def load_runs(spark: SparkSession, root: str, run_ids: Sequence[str]) -> dict[st
     if universes != 1:
         raise RunError("MODEL_UNIVERSE", "runs were fitted on different models")
     return tables
-

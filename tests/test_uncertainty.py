@@ -30,7 +30,7 @@ from pairpref.plans.legacy import descriptive_report, write_report
 from pairpref.fixtures import PROVENANCE, battles_raw
 from pairpref.schema import A_WIN, B_WIN, TIE
 from pairpref.sources.files import compare_inventories, inventory, inventory_digest, read_csv
-from pairpref.sources.runs import Manifest, RunError, load_runs, manifest_violations, verify_run
+from pairpref.sources.runs import Manifest, RunError, load_runs, manifest_violations, read_runs, verify_runs
 
 BATTLE = "battle_id string, judge_cluster_id string, model_a_id string, model_b_id string, canonical_outcome string"
 
@@ -204,9 +204,10 @@ def test_runs_are_stored_verified_and_tamper_evident(spark, sf):
     runs = []
     for label in ("primary", "again"):
         run = run_analysis(canonical, PROVENANCE, RunConfig(label, config, BASE_RESEARCH), commit="c" * 40, branch="main")
-        place = write_analysis(run, f"{root}/runs")
-        assert verify_run(spark, place).where("status <> 'ok'").isEmpty()
+        write_analysis(run, f"{root}/runs")
         runs.append(run.run_id)
+    report = verify_runs(spark, f"{root}/runs", runs)
+    assert report.where("status <> 'ok'").isEmpty() and report.select("run_id").distinct().count() == 2
     with pytest.raises(RunError) as error:
         write_analysis(run, f"{root}/runs")
     assert error.value.code == "RUN_ALREADY_EXISTS"
@@ -217,13 +218,15 @@ def test_runs_are_stored_verified_and_tamper_evident(spark, sf):
     with pytest.raises(RunError) as error:
         load_runs(spark, f"{root}/runs", runs[:1])
     assert error.value.code == "RUN_SET_MISMATCH"
-    folder = f"{place}/scores"
+    folder = f"{root}/runs/scores/run_id={runs[1]}"
     victim = next(name for name in os.listdir(folder) if name.endswith(".parquet"))
     with open(f"{folder}/{victim}", "ab") as handle:
         handle.write(b"x")
     with pytest.raises(RunError) as error:
-        verify_run(spark, place)
+        load_runs(spark, f"{root}/runs", runs)
     assert error.value.code == "ARTIFACT_CONSISTENCY_ERROR"
+    plan = read_runs(spark, f"{root}/runs", runs[:1], "scores")._jdf.queryExecution().executedPlan().toString()
+    assert f"run_id" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_manifests(spark):
