@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairpref.catalog import query
+from pairpref.catalog.storage import FILES_DIGEST, digest_of_page_files
 from pairpref.catalog.uncertainty import PAIRS, PRIMARY, RUNS, SCORES, points, rounded, scores
+from pairpref.fixtures import PROVENANCE
+from pairpref.functions.identity import canonical_json
 from pairpref.operators import compare, presentation, robustness
 from pairpref.operators.bootstrap import rank_summary, score_intervals
 from pairpref.operators.estimate import POLICIES
@@ -149,17 +152,23 @@ def cross(spark, sf):
     return _printed(robustness.cross_specification(points(spark, sf), PRIMARY), "rank_by_run", "primary_relative_shift_by_run")
 
 
-@query("r08_identities")
+def _identity_sql() -> str:
+    """Both ids written out as the canonical JSON they hash, with the digest of the study's files in its place."""
+    mark = "@" * 64
+    derivation = robustness.Derivation(PROVENANCE.snapshot_id, "study", mark, tuple(RUN_IDS), PRIMARY)
+    spec = "sha256('" + canonical_json(derivation.payload(), ascii_only=True).replace(mark, "' || digest || '") + "')"
+    instance = canonical_json(robustness.instance_payload(mark, "a" * 40), ascii_only=True).replace(mark, "' || spec || '")
+    return FILES_DIGEST + f"""
+select spec derivation_spec_id, sha256('{instance}') artifact_instance_id from (select {spec} spec from digests)"""
+
+
+@query("r08_identities", _identity_sql())
 def identities(spark, sf):
-    """Derivation and artifact ids of the checked study, next to the number of score rows they stand for."""
-    snapshot, inventory = "0" * 64, "1" * 64
-    derivation = robustness.Derivation(snapshot, "study", inventory, tuple(RUN_IDS), PRIMARY)
-    rows = scores(spark, sf).agg(F.count(F.lit(1)).alias("score_rows"))
-    return rows.select(
-        F.lit(derivation.derivation_spec_id).alias("derivation_spec_id"),
-        F.lit(derivation.artifact_instance_id("a" * 40)).alias("artifact_instance_id"),
-        "score_rows",
-    )
+    """Derivation and artifact ids of a study whose payload are files written from the pages."""
+    digest = digest_of_page_files(spark, sf).first()["digest"]
+    derivation = robustness.Derivation(PROVENANCE.snapshot_id, "study", digest, tuple(RUN_IDS), PRIMARY)
+    ids = [(derivation.derivation_spec_id, derivation.artifact_instance_id("a" * 40))]
+    return spark.createDataFrame(ids, "derivation_spec_id string, artifact_instance_id string")
 
 
 _COUNTED = """
@@ -344,7 +353,7 @@ def model_universe(spark, sf):
 
 
 @query("t03_subgroup_rows", ROWS + """
-select primary_rank, model_id, point_rank subgroup_rank, rank_delta_vs_primary rank_delta from rows_ where run_id = 's2'""")
+select primary_rank, model_id, point_rank s6_rank, rank_delta_vs_primary rank_delta from rows_ where run_id = 's2'""")
 def subgroup_rows(spark, sf):
     return presentation.subgroup_rows(points(spark, sf), PRIMARY, "s2")
 
@@ -379,6 +388,18 @@ def table_checks(spark, sf):
     return presentation.table_violations(rows.withColumn("rank_delta_vs_primary", F.col("rank_delta_vs_primary") + shift))
 
 
+def _published_provenance(spark, sf):
+    """Every field of the published provenance table; identities of stored files stand for those of one study."""
+    run = scores(spark, sf).where(F.col("run_id") == PRIMARY).agg(F.count(F.lit(1)).alias("score_rows"))
+    digest = lambda name: F.sha2(F.concat_ws("|", F.lit(name), F.col("score_rows").cast("string")), 256)
+    known = {
+        "source_dataset": F.lit(PROVENANCE.source_dataset), "source_revision": F.lit(PROVENANCE.source_revision),
+        "source_snapshot_id": F.lit(PROVENANCE.snapshot_id), "bundle_name": F.lit("study"), "primary_run_id": F.lit(PRIMARY), "s6_run_id": F.lit("s2"),
+    }
+    fields = [name for names in presentation.PROVENANCE_FIELDS.values() for name in names]
+    return presentation.provenance_rows(run.withColumns({name: known.get(name, digest(name)) for name in fields}), fields)
+
+
 def publication(spark, sf):
     where = points(spark, sf)
     labels = spark.createDataFrame(
@@ -389,7 +410,7 @@ def publication(spark, sf):
         results(spark, sf),
         presentation.robustness_rows(where, PRIMARY),
         presentation.subgroup_rows(where, PRIMARY, "s2"),
-        _provenance(spark, sf),
+        _published_provenance(spark, sf),
         labels,
         PRIMARY,
     )
@@ -430,8 +451,9 @@ select claim_id, n::bigint cells from (
   union all select 'primary.score_uncertainty', models * 4 from sizes where run_id = 'primary'
   union all select 'primary.rank_uncertainty', models * 6 from sizes where run_id = 'primary'
   union all select 'robustness.point_ranks', sum(models) * 4 from sizes
-  union all select 'subgroup.rank_comparison', models * 3 from sizes where run_id = 's2'
-  union all select 'provenance.identity', 8 from sizes where run_id = 'primary')""")
+  union all select 's6.rank_comparison', models * 3 from sizes where run_id = 's2'
+  union all select unnest(['provenance.e0_identity', 'provenance.e1_identity', 'provenance.e2_identity']), unnest([8, 8, 6])
+    from sizes where run_id = 'primary')""")
 def lineage_counts(spark, sf):
     return presentation.cell_lineage(publication(spark, sf)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("cells"))
 

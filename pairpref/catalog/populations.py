@@ -197,8 +197,11 @@ def view_audit(spark, sf):
 
 
 @query("p12_view_summary", SUPPORT_SQL + """
-select 'base_research_pair_support_ge50' population_id, 1 population_view_schema_version,
-  'base_research' base_population_id, sum(n)::bigint input_rows,
+select 'base_research_pair_support_ge50' population_id, 1 population_spec_version, 1 population_view_schema_version,
+  'base_research' base_population_id, 2 base_population_spec_version,
+  '{"pair_definition":"canonical_unordered_model_pair","support_count_stage":"before_estimator_outcome_filter",' ||
+  '"support_measure":"eligible_battle_count","support_population":"base_research","threshold":50,"threshold_operator":">=",' ||
+  '"view_type":"unordered_pair_support_threshold"}' "view", sum(n)::bigint input_rows,
   coalesce(sum(n) filter (n >= 50), 0)::bigint eligible_rows,
   coalesce(sum(n) filter (n < 50), 0)::bigint excluded_rows,
   round(coalesce(sum(n) filter (n >= 50), 0) / sum(n), 6) eligibility_rate from support""")

@@ -271,6 +271,7 @@ class Derivation:
     primary_run_id: str
 
     def payload(self) -> dict:
+        """The keys, which are hashed with their contents."""
         if self.primary_run_id not in self.run_ids or len(set(self.run_ids)) != len(self.run_ids):
             raise ValueError("run ids must be unique and contain the primary run")
         return {
@@ -293,9 +294,13 @@ class Derivation:
         return sha256_of(self.payload(), ascii_only=True)
 
     def artifact_instance_id(self, producer_commit: str) -> str:
-        instance = {
-            "derivation_spec_id": self.derivation_spec_id,
-            "producer_git_sha": producer_commit,
-            "artifact_schema_version": ARTIFACT_VERSION,
-        }
-        return sha256_of(instance, ascii_only=True)
+        return sha256_of(instance_payload(self.derivation_spec_id, producer_commit), ascii_only=True)
+
+
+def instance_payload(derivation_spec_id: str, producer_commit: str) -> dict:
+    """What identifies one artifact of a derivation. The keys, which are hashed with their contents."""
+    return {
+        "derivation_spec_id": derivation_spec_id,
+        "producer_git_sha": producer_commit,
+        "artifact_schema_version": ARTIFACT_VERSION,
+    }
