@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairpref.functions.conversation import parse_conversation, texts_of
-from pairpref.functions.identity import battle_id, fingerprint, row_json, sha256_of
+from pairpref.functions.identity import battle_id, fingerprint, row_hash, row_json, sha256_of
 from pairpref.functions.outcomes import anony_truth, canonical_outcome
 from pairpref.functions.text import present, trimmed
 from pairpref.functions.timestamps import read_time, time_error
@@ -104,7 +104,8 @@ def canonicalize(
     if check_index:
         require_row_index(raw)
     key = duplicate_key(raw)
-    df = with_group_size(raw, key, "__copies", F.col("source_row_index"), at_least=2, measured=measured)
+    cheap = row_hash(raw, exclude=IDENTITY_COLUMNS)
+    df = with_group_size(raw, key, "__copies", F.col("source_row_index"), at_least=2, measured=measured, cheap=cheap)
     df = with_optional_columns(df)
     types = {f.name: f.dataType for f in df.schema}
     no_time, stamp = read_time(F.col("tstamp"), types["tstamp"])

@@ -18,7 +18,8 @@ SPREAD = 4096
 
 
 def with_group_size(
-    df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column, *, at_least: int, measured: bool = False
+    df: DataFrame, fingerprint: Column, size_column: str, spread_by: Column, *, at_least: int, measured: bool = False,
+    cheap: Column | None = None,
 ) -> DataFrame:
     """Add the number of rows that share ``fingerprint`` (a SHA-256 text), null below ``at_least`` rows.
 
@@ -28,8 +29,19 @@ def with_group_size(
     By default the plan is lazy; both joined sides are unique on the key, so Spark drops the whole computation
     when the size is not used downstream. With ``measured`` the groups are counted and materialised first, and
     when they are few they are broadcast: then wide rows are never shuffled.
+
+    ``cheap`` is a 64-bit hash that is equal where fingerprints are. It is counted first; what is seen once is in no group of
+    two, and only the rest is fingerprinted at all.
     """
-    rows = df.withColumn("__fp", fingerprint)
+    columns = df.columns
+    if measured and cheap is not None and at_least >= 2:
+        counted = df.select(cheap.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+        suspects = cut(counted.where("__h is not null and __c > 1").select("__h", F.lit(True).alias("__suspect")))
+        small = broadcast_if_small(suspects)
+        if small is not suspects:
+            df = df.withColumn("__h", cheap).join(small, "__h", "left")
+            fingerprint = F.when(F.col("__suspect"), fingerprint)
+    rows = df.withColumn("__fp", fingerprint).select(*[F.col(f"`{c}`") for c in columns], "__fp")
     keyed = rows.where(F.col("__fp").isNotNull())
     sizes = keyed.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"))
     wanted = F.col("__n") >= at_least
