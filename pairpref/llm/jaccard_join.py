@@ -23,7 +23,6 @@ come back one for one; repeated rows link. A null doc_id names no component: its
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pairpref.llm.windows import BUCKET_CHARS, NO_ID, pieces
 from pairpref.session import broadcast_if_small, scratch, stored
 
 WIDTH, PERCENT = 4, 85
-TILE, MU = 500_000, 0.01
+TILE, MU, HEAPED = 500_000, 0.01, 2_000
 #: Bytes of text whose sets are made at once, of a row group and of a page of the table that keeps them.
 SET_BYTES, ROW_GROUP, PAGE = 1_000_000, 8 << 20, 1 << 18
 #: A shingle in more sets than this is frequent.
@@ -203,7 +202,7 @@ class Index:
     """Inverted lists of some sets."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(shingles, kind="stable")
@@ -211,7 +210,7 @@ class Index:
         edges = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.empty(0, np.int64)
         self.keys, self.begin, self.end, self.owner = shingles[edges], edges, np.append(edges[1:], len(shingles)), owner
 
-    def lists(self, query: np.ndarray, least: int) -> list[list[int]]:
+    def lists(self, query: np.ndarray, least: int) -> list[np.ndarray]:
         """The inverted lists of a query's shingles that have at least ``least`` sets, shortest first."""
         if not len(self.keys):
             return []
@@ -219,10 +218,14 @@ class Index:
         at = at[self.keys[at] == query]
         length = self.end[at] - self.begin[at]
         at = at[length >= least][np.argsort(length[length >= least], kind="stable")]
-        return [self.owner[self.begin[i] : self.end[i]].tolist() for i in at]
+        return [self.owner[self.begin[i] : self.end[i]] for i in at]
 
     def linked(self, query: np.ndarray, least: int, skip: Callable[[int], bool], percent: int) -> Iterator[int]:
-        """DivideSkip: sets whose similarity with ``query`` is at least ``percent``, except those ``skip`` says no to."""
+        """DivideSkip: sets whose similarity with ``query`` is at least ``percent``, except those ``skip`` says no to.
+
+        Up to HEAPED entries of short lists are merged by a heap, more of them (lists of near copies) by one sort; all
+        candidates that are still open probe a long list together.
+        """
         n = len(query)
         lowest = needed(n, percent)
         lists = self.lists(query, least)
@@ -230,27 +233,23 @@ class Index:
             return
         long = min(lowest - 1, int(lowest / (MU * np.log2(len(lists[-1]) + 1) + 1)))
         short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-        found: dict[int, int] = {}
-        at, times = -1, 0
-        for x in heapq.merge(*short):
-            if x != at:
-                if times >= lowest - long:
-                    found[at] = times
-                at, times = x, 0
-            times += 1
-        if times >= lowest - long:
-            found[at] = times
-        for x, overlap in found.items():
-            if skip(x):
-                continue
-            want = -(-percent * (n + self.sizes[x]) // (100 + percent))
-            for rest, members in zip(range(len(probed), 0, -1), probed):
-                if overlap >= want or overlap + rest < want:
-                    break
-                place = bisect_left(members, x)
-                overlap += place < len(members) and members[place] == x
-            if overlap >= want:
-                yield x
+        total = sum(map(len, short))
+        if total <= HEAPED:
+            merged = np.fromiter(heapq.merge(*[x.tolist() for x in short]), np.int64, total)
+        else:
+            merged = np.sort(np.concatenate(short))
+        head = np.flatnonzero(np.diff(merged, prepend=-1))
+        found, overlap = merged[head], np.diff(np.append(head, total))
+        often = np.array([t >= lowest - long and not skip(x) for x, t in zip(found.tolist(), overlap.tolist())], bool)
+        found, overlap = found[often], overlap[often]
+        want = -(-percent * (n + self.sizes[found]) // (100 + percent))
+        for rest, members in zip(range(len(probed), 0, -1), probed):
+            unsure = np.flatnonzero((overlap < want) & (overlap + rest >= want))
+            if not len(unsure):
+                break
+            at = np.searchsorted(members, found[unsure]).clip(0, len(members) - 1)
+            overlap[unsure] += members[at] == found[unsure]
+        yield from found[overlap >= want].tolist()
 
 
 def connect(sets: list[np.ndarray], percent: int) -> Forest:
