@@ -35,13 +35,13 @@ def _stratum(by: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*[F.col(name) for name in by])) if by else F.lit("all")
 
 
-def _pairs(used: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(stratum, low, high, won, lost, tied) per unordered pair; ``won`` counts for the smaller id."""
+def _pairs(used: DataFrame) -> DataFrame:
+    """(stratum, low, high, won, lost, tied) per unordered pair of cells named by ``__fit``; ``won`` counts for the smaller id."""
     low, high = F.least("model_a_id", "model_b_id"), F.greatest("model_a_id", "model_b_id")
     tie = F.col("canonical_outcome") == TIE
     low_won = ~tie & ((F.col("canonical_outcome") == A_WIN) == (F.col("model_a_id") == low))
     count = lambda chosen, name: F.sum(F.when(chosen, F.col("n")).otherwise(0)).cast("double").alias(name)
-    return used.groupBy(_stratum(by).alias("__stratum"), low.alias("low"), high.alias("high")).agg(
+    return used.groupBy(F.col("__fit").alias("__stratum"), low.alias("low"), high.alias("high")).agg(
         count(low_won, "won"), count(~tie & ~low_won, "lost"), count(tie, "tied")
     )
 
@@ -169,16 +169,20 @@ def _minimised(pairs: DataFrame, points: DataFrame, totals: DataFrame, config: E
 def fit_many(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()) -> DataFrame:
     """One result row per stratum, as from the grouped fit, whatever the number of strata and of their models."""
     ties = config.estimator != "bradley_terry_decisive"
-    used, keys = stored(likelihood_rows(cells, config)), list(by)
-    named = lambda df: df.withColumn("__stratum", _stratum(by))
-    models = stored(named(models_of(cells, by)).select("__stratum", *by, "model_id"))
-    facts = models.groupBy("__stratum", *by).agg(F.count(F.lit(1)).cast("int").alias("models"))
-    total = lambda df, name: named(df).groupBy("__stratum").agg(F.sum("n").alias(name))
-    facts = facts.join(total(cells, "rows"), "__stratum").join(total(used, "likelihood_rows"), "__stratum", "left")
-    lost = named(dropped_models(cells, config, by)).groupBy("__stratum").agg(F.lit(True).alias("dropped"))
-    graph = named(graph_facts(used, keys)).select("__stratum", F.col("edge_count").cast("int").alias("edges"), F.col("component_count").cast("int").alias("components"))
-    strong = named(strongly_connected(used, keys, ties=ties)).select("__stratum", "strongly_connected")
-    tied = named(tie_support(cells, config, by)).select("__stratum", "identifiable")
+    # One text names a stratum from here on, so that null keys are strata like any other.
+    cells = cells.withColumn("__fit", _stratum(by))
+    own = ("__fit",)
+    used = stored(likelihood_rows(cells, config))
+    named = lambda df, *columns: df.select(F.col("__fit").alias("__stratum"), *columns)
+    models = stored(named(models_of(cells, own), "model_id"))
+    keys = cells.select(F.col("__fit").alias("__stratum"), *by).distinct()
+    same = lambda df, name: named(df, "n").groupBy("__stratum").agg(F.sum("n").alias(name))
+    facts = keys.join(models.groupBy("__stratum").agg(F.count(F.lit(1)).cast("int").alias("models")), "__stratum")
+    facts = facts.join(same(cells, "rows"), "__stratum").join(same(used, "likelihood_rows"), "__stratum", "left")
+    lost = named(dropped_models(cells, config, own)).groupBy("__stratum").agg(F.lit(True).alias("dropped"))
+    graph = named(graph_facts(used, ["__fit"]), F.col("edge_count").cast("int").alias("edges"), F.col("component_count").cast("int").alias("components"))
+    strong = named(strongly_connected(used, ["__fit"], ties=ties), "strongly_connected")
+    tied = named(tie_support(cells, config, own), "identifiable")
     for more in (lost, graph, strong, tied):
         facts = facts.join(more, "__stratum", "left")
     status = (
@@ -195,7 +199,7 @@ def fit_many(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()
     if fine.isEmpty():
         out = facts.join(ids, "__stratum").withColumn("status", F.col("guard"))
         return _result(out, by)
-    pairs = stored(_pairs(used, by).join(fine, "__stratum", "left_semi"))
+    pairs = stored(_pairs(used).join(fine, "__stratum", "left_semi"))
     battles = F.col("won") + F.col("lost") + F.col("tied")
     both = pairs.select("__stratum", F.explode(F.array("low", "high")).alias("model"), battles.alias("n"))
     if ties:
@@ -204,9 +208,9 @@ def fit_many(cells: DataFrame, config: EstimatorConfig, by: tuple[str, ...] = ()
     totals = facts.select("__stratum", F.col("likelihood_rows").alias("total"))
     states, over = _minimised(pairs, stored(points), totals, config)
     states = stored(states)
-    own = states.where(F.col("model") != NO_MODEL)
-    middle = own.groupBy("__stratum").agg(F.avg("x").alias("middle"))
-    scores = own.join(middle, "__stratum").select(F.col("__stratum").alias("fit"), F.col("model").alias("model_id"), (F.col("x") - F.col("middle")).alias("score"))
+    found = states.where(F.col("model") != NO_MODEL)
+    middle = found.groupBy("__stratum").agg(F.avg("x").alias("middle"))
+    scores = found.join(middle, "__stratum").select(F.col("__stratum").alias("fit"), F.col("model").alias("model_id"), (F.col("x") - F.col("middle")).alias("score"))
     ranked = dense_ranks(stored(scores), ("fit",))
     listed = ranked.groupBy(F.col("fit").alias("__stratum")).agg(F.array_sort(F.collect_list(F.struct("model_id", "score", "rank"))).alias("m"))
     nu = states.where(F.col("model") == NO_MODEL).select("__stratum", F.exp("x").alias("tie_parameter"))
