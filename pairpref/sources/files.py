@@ -69,7 +69,8 @@ def inventory(spark: SparkSession, path: str, *, pattern: str = "*", keep: str |
 
     Files are listed without their content, dealt to tasks and hashed there CHUNK bytes at a time, so that a file of
     any size takes the memory of one chunk. A store that only Spark's readers know (no Arrow file system opens its URIs) is
-    read by them instead, each file whole, up to their bound of 2 GiB.
+    read by them instead, each file whole, up to their bound of 2 GiB. Files without a byte are not listed, since Spark's
+    reader leaves them out.
     """
     root, folder = _root(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)

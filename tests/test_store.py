@@ -27,7 +27,7 @@ def folder(content):
 @pytest.mark.parametrize("chunk", [3, 8 << 20])
 def test_files_are_hashed_in_chunks_below_names_that_repeat(spark, monkeypatch, chunk):
     monkeypatch.setattr(files, "CHUNK", chunk)
-    content = {"a.bin": b"one", "x/a.bin": b"", "x/žluť b.bin": os.urandom(10_000)}
+    content = {"a.bin": b"one", "x/a.bin": b"two", "x/žluť b.bin": os.urandom(10_000)}
     root = folder(content)
     inner = f"{os.path.basename(root)}/deep.bin"  # a folder of the root's own name
     os.makedirs(f"{root}/{os.path.basename(root)}")
