@@ -7,14 +7,23 @@ from dataclasses import asdict
 from pyspark.sql import functions as F
 
 from pairpref.catalog import query
-from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, canonical, once, raw_table
+from pairpref.catalog.tables import CANONICAL, CLEANED, RAW, battles_table, canonical, conversations_table, facts_table, once
 from pairpref.fixtures import PROVENANCE, battles_raw, table
 from pairpref.functions.conversation import parse_conversation, texts_of
 from pairpref.functions.identity import canonical_json, row_json
 from pairpref.functions.outcomes import canonical_outcome
 from pairpref.functions.text import trimmed
 from pairpref.functions.timestamps import read_time, time_error
-from pairpref.operators.canonical import VALIDITY_FLAGS, canonicalize, clean_arena, cleaning_report, row_index_report
+from pairpref.operators.canonical import (
+    REFERENCE,
+    VALIDITY_FLAGS,
+    canonicalize,
+    clean_arena,
+    cleaning_report,
+    referenced_conversations,
+    row_index_report,
+    with_texts,
+)
 from pairpref.sources.files import read_parquet
 
 SNAPSHOT = canonical_json(asdict(PROVENANCE))
@@ -133,7 +142,8 @@ def conversation_text(spark, sf):
 
 @query("c08_turn_texts", CANONICAL + "select source_row_index, prompt_text, response_a_text, response_b_text from canon")
 def turn_texts(spark, sf):
-    return canonical(spark, sf).select("source_row_index", "prompt_text", "response_a_text", "response_b_text")
+    battles = with_texts(canonical(spark, sf), facts_table(spark, sf))
+    return battles.select("source_row_index", "prompt_text", "response_a_text", "response_b_text")
 
 
 @query("c09_has_turns", CANONICAL + """
@@ -213,7 +223,7 @@ def lengths(spark, sf):
 
 @query("c16_exact_duplicate", CANONICAL + "select source_row_index, exact_duplicate from canon")
 def exact_duplicate(spark, sf):
-    return canonical(spark, sf).select("source_row_index", "exact_duplicate")
+    return canonical(spark, sf, measured=True).select("source_row_index", "exact_duplicate")
 
 
 @query("c17_record_valid", CANONICAL + "select source_row_index, source_record_valid from canon")
@@ -229,11 +239,13 @@ select source_row_index, sha256(sha256('{SNAPSHOT}') || chr(31) || source_row_in
   source_record_valid from canon"""
 
 
-def _canonical_columns(battles):
-    return battles.select(
+def _canonical_columns(battles, facts):
+    """The texts of answers are digested where they are stored, once for all battles that have them."""
+    md5 = [F.md5(f"response_{side}_text").alias(f"response_{side}_md5") for side in "ab"]
+    return battles.join(facts.select(REFERENCE, "prompt_text", *md5), REFERENCE, "left").select(
         "source_row_index", "battle_id", "schema_version", "question_id_raw", "winner_raw", "canonical_outcome",
         "model_a_id", "model_b_id", "judge_cluster_id", "language_canonical", "prompt_text",
-        F.md5("response_a_text").alias("response_a_md5"), F.md5("response_b_text").alias("response_b_md5"),
+        "response_a_md5", "response_b_md5",
         "anony_raw", "anony_valid", "anonymous_battle", "judge_present", "language_present", "exact_duplicate",
         *VALIDITY_FLAGS, "source_record_valid",
     )
@@ -241,15 +253,16 @@ def _canonical_columns(battles):
 
 @query("c18_canonical", _CANONICAL)
 def canonical_battles(spark, sf):
-    return _canonical_columns(canonical(spark, sf))
+    return _canonical_columns(canonical(spark, sf, measured=True), facts_table(spark, sf))
 
 
 @query("c18_text", _CANONICAL)
 def canonical_battles_from_text(spark, sf):
     """The same battles from a snapshot whose conversations are JSON text, as in CSV files."""
     as_text = {side: F.to_json(side) for side in ("conversation_a", "conversation_b")}
-    snapshot = once(spark, sf, "raw_text", lambda: raw_table(spark, sf).withColumns(as_text))
-    return _canonical_columns(canonicalize(snapshot, PROVENANCE))
+    snapshot = once(spark, sf, "raw_text", lambda: conversations_table(spark, sf).withColumns(as_text))
+    facts = once(spark, sf, "facts_of_text", lambda: referenced_conversations(snapshot))
+    return _canonical_columns(canonicalize(battles_table(spark, sf), PROVENANCE, measured=True, facts=facts), facts)
 
 
 @query("c19_cleaned", CLEANED + """

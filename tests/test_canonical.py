@@ -9,14 +9,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairpref import skew
+from pairpref.catalog import tables
 from pairpref.fixtures import PROVENANCE, battles_raw
 from pairpref.functions.conversation import parse_conversation, plain_json
 from pairpref.functions.identity import canonical_json, label_seed
 from pairpref.functions.outcomes import anony_truth, canonical_outcome
 from pairpref.functions.text import WHITESPACE, trimmed
 from pairpref.functions.timestamps import read_time, time_error
-from pairpref.operators.canonical import Provenance, canonicalize, clean_arena, require_row_index
-from pairpref.session import broadcast_if_small
+from pairpref.operators.canonical import (
+    Provenance,
+    canonicalize,
+    clean_arena,
+    referenced_conversations,
+    require_row_index,
+    with_texts,
+)
+from pairpref.session import broadcast_if_small, stored
 
 TALK = [{"role": "user", "content": "Hi"}, {"role": "assistant", "content": "Hello"}]
 RAW = (
@@ -211,6 +219,40 @@ def test_exact_duplicates_ignore_identity_and_keep_all_copies(spark):
     assert [r["exact_duplicate"] for r in found] == [True, True, False]
 
 
+@pytest.mark.parametrize("measured", [False, True])
+def test_conversations_by_reference_say_the_same(spark, measured):
+    other = [{"role": "user", "content": "Hi"}, {"role": "assistant", "content": "No"}, {"role": "robot", "content": "?"}]
+    talks = {"x": (TALK, TALK), "y": (TALK, TALK), "z": (None, TALK), "w": (TALK, other), None: (None, None)}
+    rows = [("x", {}), ("y", {}), ("z", {}), ("z", {}), ("w", {}), (None, {}), ("x", {"winner": "tie"}), ("w", {"judge": None})]
+    held = [
+        battle(i, question_id="q", conversation_a=talks[ref][0], conversation_b=talks[ref][1], **changes)
+        for i, (ref, changes) in enumerate(rows)
+    ]
+    whole = frame(spark, *held)
+    refs = spark.createDataFrame([(i, ref) for i, (ref, _) in enumerate(rows)], "source_row_index long, conversation_ref string")
+    told = spark.createDataFrame(
+        [(ref, *talk) for ref, talk in talks.items() if ref],
+        "conversation_ref string, " + ", ".join(f"conversation_{s} array<struct<role:string,content:string>>" for s in "ab"),
+    )
+    battles = whole.drop("conversation_a", "conversation_b").join(refs, "source_row_index").where("conversation_ref is not null")
+    facts = stored(referenced_conversations(told))
+    found = with_texts(canonicalize(battles, PROVENANCE, facts=facts, measured=measured), facts).drop("conversation_ref")
+    wanted = canonicalize(whole.where("source_row_index <> 5"), PROVENANCE).select(*found.columns)
+    assert set(whole.columns) - set(found.columns) == {"conversation_a", "conversation_b"}
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert [r[0] for r in found.orderBy("source_row_index").select("exact_duplicate").collect()] == [True] * 4 + [False] * 3
+
+
+def test_stored_battles_hold_no_texts(spark, sf):
+    """What is stored per battle does not grow with the length of conversations."""
+    for table in (tables.battles_table(spark, sf), tables.canonical_rows(spark, sf)):
+        names = {"conversation_a", "conversation_b", "prompt_text", "response_a_text", "response_b_text"}
+        assert "conversation_ref" in table.columns and not names & set(table.columns)
+    pairs = tables.conversations_table(spark, sf)
+    assert pairs.count() == tables.battles_table(spark, sf).select("conversation_ref").distinct().count()
+    assert tables.raw_table(spark, sf).exceptAll(battles_raw(spark, sf)).isEmpty()
+
+
 def test_missing_and_not_a_number_are_the_same_copy(spark):
     rows = spark.createDataFrame(
         [(1, float("nan"), 0.0), (2, None, 0.0), (3, None, -0.0)], "source_row_index long, toxicity double, x double"
