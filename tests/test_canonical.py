@@ -14,7 +14,7 @@ from pairpref.fixtures import PROVENANCE, battles_raw
 from pairpref.functions.conversation import parse_conversation, plain_json
 from pairpref.functions.identity import canonical_json, label_seed
 from pairpref.functions.outcomes import anony_truth, canonical_outcome
-from pairpref.functions.text import WHITESPACE, trimmed
+from pairpref.functions.text import WHITESPACE, present, stripped, trimmed
 from pairpref.functions.timestamps import read_time, time_error
 from pairpref.operators.canonical import (
     Provenance,
@@ -22,6 +22,7 @@ from pairpref.operators.canonical import (
     clean_arena,
     referenced_conversations,
     require_row_index,
+    store_canonical,
     with_texts,
 )
 from pairpref.session import broadcast_if_small, stored
@@ -58,6 +59,15 @@ def test_trim_follows_unicode_whitespace(spark):
     assert all(c.isspace() for c in WHITESPACE)
 
 
+def test_trim_of_text_with_visible_ends(spark):
+    values = ["a", "!x~", " a", "a ", "a\u3000", "\u00e9 ", "\x7fa", "a\x7f", "\x1fa", "", " ", "a b", "\U0001f600", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, v string")
+    found = [r[0] for r in rows.orderBy("i").select(stripped(F.col("v"))).collect()]
+    assert found == [v if v is None else v.strip(WHITESPACE) for v in values]
+    kept = rows.orderBy("i").select(present(F.col("v"))).collect()
+    assert [r[0] for r in kept] == [v is not None and v.strip(WHITESPACE) != "" for v in values]
+
+
 def test_outcome_spellings(spark):
     values = ["model_a", " A ", "winner_a", "MODEL_B", "b", "winner_b", "tie", "Tie (bothbad)", "both", None, ""]
     expected = ["model_a_win"] * 3 + ["model_b_win"] * 3 + ["tie", "tie_bothbad"] + ["invalid_unknown"] * 3
@@ -253,6 +263,26 @@ def test_stored_battles_hold_no_texts(spark, sf):
     assert tables.raw_table(spark, sf).exceptAll(battles_raw(spark, sf)).isEmpty()
 
 
+def test_stored_canonical_battles_leave_out_what_follows_from_one_column(spark):
+    """Identifiers, constants, second names and calendar parts are the same when read, and take no room."""
+    rows = canonicalize(frame(spark, battle(1), battle(1), battle(2, model_a=" ", tstamp=None), battle(None, judge=None)), PROVENANCE)
+    found = store_canonical(rows, PROVENANCE)
+    assert found.columns == rows.columns
+    assert [f.dataType for f in found.schema] == [f.dataType for f in rows.schema]
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    held = set(spark.read.parquet(*found.inputFiles()).columns)
+    assert not held & {"battle_id", "source_snapshot_id", "source_dataset", "model_a_raw", "judge_cluster_id", "battle_month_utc"}
+    assert {"canonical_outcome", "exact_duplicate", "source_record_valid", "timestamp_utc"} <= held
+
+
+@pytest.mark.parametrize("cheap, joins", [("xxhash64(k)", 1), ("7L", 2)])
+def test_hash_tells_copies_unless_fingerprints_share_it(spark, cheap, joins):
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate("aabcccd")], "i long, k string")
+    sized = skew.with_group_size(rows, F.sha2("k", 256), "n", F.col("i"), at_least=2, measured=True, cheap=F.expr(cheap))
+    assert [tuple(r) for r in sized.orderBy("i").collect()] == list(zip(range(7), "aabcccd", [2, 2, None, 3, 3, 3, None]))
+    assert sized._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
+
+
 def test_missing_and_not_a_number_are_the_same_copy(spark):
     rows = spark.createDataFrame(
         [(1, float("nan"), 0.0), (2, None, 0.0), (3, None, -0.0)], "source_row_index long, toxicity double, x double"
