@@ -4,7 +4,10 @@ A document's set holds its distinct four-word shingles (A-Z lower-cased). Sets w
 ``PERCENT`` link. Equal sets are one node from the start. Two linking sets share at least one of each other's first
 n - T + 1 shingles in any fixed order (T: overlap a set of n needs). The order here is by length of the shingle, since
 long ones are rare; a first pass over these heads finds the frequent shingles among them, which the order of the
-second pass puts last (at most ``DEMOTED`` of them, the most frequent; any order gives the same links). Only heads are shuffled. The few sets of a rare shingle are candidates of each other where their
+second pass puts last (at most ``DEMOTED`` of them, the most frequent; any order gives the same links). Only heads are
+shuffled: 8 bytes a shingle in the first pass, 16 in the second, whatever the number of buckets. No set is stored whole:
+of each, ``LEAD`` heads in the first order are kept. A set whose head in the second order reaches further is made from its text
+again, and so are candidates. The few sets of a rare shingle are candidates of each other where their
 sizes allow a link and their parity bitmaps (about one bit a shingle; the differing bits of two sets are at most the
 shingles that differ) do not rule it out. The sets of a frequent shingle are only chained in order of size, a linear
 number of edges that connects all candidates.
@@ -43,7 +46,13 @@ TILE, MU, HEAPED = 500_000, 0.01, 2_000
 SET_BYTES, ROW_GROUP, PAGE = 1_000_000, 8 << 20, 1 << 18
 #: A shingle in more sets than this is frequent.
 RARE, DEMOTED = 8, 1 << 20
-ENTRY = np.dtype([("shingle", "<u8"), ("name", "<i8"), ("n", "<i4")])
+#: Shingles of each set that are stored, in lengths of its head.
+LEAD = 2
+#: A shingle of a head: its mark (48 bits) and the code of the set's size (16 bits) in one number, and the set.
+ENTRY = np.dtype([("key", "<u8"), ("name", "<i8")])
+MARK, LOW = np.uint64(16), np.uint64(0xFFFF)
+#: A double keeps 41 bits of fraction below its exponent and the 11 bits of fraction that a size code holds.
+FRACTION, ONE = np.uint64(41), np.uint64(0x3FF << 52 >> 41)
 SECOND, THIRD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -52,6 +61,20 @@ def needed(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def head_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return n - needed(n, percent) + 1
+
+
+def size_codes(n: np.ndarray) -> np.ndarray:
+    """16 bits that order sizes of 1 to 2**32 - 1: exponent and 11 bits of fraction; exact below 4096."""
+    return (n.astype(np.float64).view(np.uint64) >> FRACTION) - ONE
+
+
+def least_size(codes: np.ndarray) -> np.ndarray:
+    """The least size of a code; every size of a code is below the least one of the next."""
+    return ((codes + ONE) << FRACTION).view(np.float64)
+
+
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, shingles): the distinct shingles of each text, longest first, then by hash (56 bits and the length)."""
     offsets, words = words_of(pc.ascii_lower(texts))
@@ -106,11 +129,16 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(short ^ long).sum())
 
 
-def _sizes(width: int) -> Callable:
+def _sizes(width: int, percent: int) -> Callable:
+    """Size, name and bitmap of each row's set, and the first ``LEAD`` heads of its shingles."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole, SET_BYTES)):
             offsets, shingles = shingle_sets(as_texts(batch.column("text")), width)
-            made = [pa.array(np.diff(offsets)), pa.array(set_names(offsets, shingles)), parity_bits(offsets, shingles), binaries(8 * offsets, shingles)]
+            n = np.diff(offsets)
+            held = np.minimum(n, LEAD * head_size(n, percent))
+            lead = binaries(8 * np.concatenate([[0], np.cumsum(held)]), shingles[ranges(offsets[:-1], held)])
+            made = [pa.array(n), pa.array(set_names(offsets, shingles)), parity_bits(offsets, shingles), lead]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_key"), batch.column("print"), *made], ["doc_key", "print", "n_shingles", "name", "bits", "shingles"]
             )
@@ -118,35 +146,79 @@ def _sizes(width: int) -> Callable:
     return apply
 
 
-def _heads(percent: int, buckets: int, last) -> Callable:
-    """The first n - T + 1 shingles of each set, those in ``last`` (a broadcast sorted array) after all others."""
+def _whole(width: int) -> Callable:
+    """All shingles of each row's set in place of its text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = last.value
-        for whole in batches:
-            sizes = np.cumsum(whole.column("n_shingles").to_numpy())
-            begin = 0
-            while begin < len(sizes):
-                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + TILE, "right")))
-                yield part(whole.slice(begin, end - begin), late)
-                begin = end
+        for batch in (piece for whole in batches for piece in pieces(whole, SET_BYTES)):
+            offsets, shingles = shingle_sets(as_texts(batch.column("text")), width)
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], binaries(8 * offsets, shingles)], [*kept, "shingles"])
+
+    return apply
+
+
+def _loaded(keyed: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The columns of ``rows`` (stored; doc_key and print name rows of ``keyed``) and the whole sets, made from the texts."""
+    rest = [c for c in rows.columns if c not in ("doc_key", "print")]
+    some = keyed.join(broadcast_if_small(rows), ["doc_key", "print"]).select(*rest, "text")
+    return some.mapInArrow(_whole(width), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest) + ", shingles binary")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``TILE`` shingles."""
+    for whole in batches:
+        ends = np.cumsum(pc.binary_length(whole.column("shingles")).to_numpy()) // 8
+        begin = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TILE, "right")))
+            yield whole.slice(begin, end - begin)
+            begin = end
+
+
+def _marks(batch: pa.RecordBatch, late: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(rows of the distinct sets, offsets, marks, head sizes, ready): scrambled shingles, those in ``late`` after all others.
+
+    A set is ready where its head is among the shingles that are there.
+    """
+    _, first = np.unique(batch.column("name").to_numpy(), return_index=True)
+    n, column = batch.column("n_shingles").to_numpy()[first], batch.column("shingles")
+    held = pc.binary_length(column).to_numpy()[first].astype(np.int64) // 8
+    marks = mixed(np.frombuffer(b"".join(column[int(i)].as_buffer() for i in first), np.uint64))
+    take = head_size(n, percent)
+    ready = np.ones(len(n), bool)
+    if len(late):
+        short = marks >> MARK
+        demoted = late[np.searchsorted(late, short).clip(0, len(late) - 1)] == short
+        owner = np.repeat(np.arange(len(n)), held)
+        marks = marks[np.lexsort((demoted, owner))]  # stable: within a set only the demoted move
+        ready = (held == n) | (held - np.bincount(owner[demoted], minlength=len(n)) >= take)
+    return first, np.concatenate([[0], np.cumsum(held)]), marks, take, ready
+
+
+def _heads(percent: int, buckets: int, last=None) -> Callable:
+    """Heads of the sets that are ready, the shingles in ``last`` (a broadcast sorted array of marks) put after all others.
+
+    Without ``last`` an entry is a mark and 16 bits of the set's name, enough to count sets.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            yield part(batch, np.empty(0, np.uint64) if last is None else last.value)
 
     def part(batch: pa.RecordBatch, late: np.ndarray) -> pa.RecordBatch:
-        name, first = np.unique(batch.column("name").to_numpy(), return_index=True)
-        n = batch.column("n_shingles").to_numpy()[first]
-        column = batch.column("shingles")
-        shingles = np.frombuffer(b"".join(column[int(i)].as_buffer() for i in first), np.uint64)
-        offsets = np.concatenate([[0], np.cumsum(n)])
-        take = n - needed(n, percent) + 1
-        if len(late):
-            end = np.searchsorted(late, shingles).clip(0, len(late) - 1)
-            demoted = late[end] == shingles
-            order = np.lexsort((demoted, np.repeat(np.arange(len(n)), n)))  # stable: within a set only the demoted move
-            shingles = shingles[order]
-        rows = ranges(offsets[:-1], take)
-        entry = np.empty(len(rows), ENTRY)
-        entry["shingle"], entry["name"], entry["n"] = shingles[rows], np.repeat(name, take), np.repeat(n, take)
-        bucket = (mixed(entry["shingle"]) % np.uint64(buckets)).astype(np.int64)
+        first, offsets, marks, take, ready = _marks(batch, late, percent)
+        name, n = (batch.column(c).to_numpy()[first[ready]] for c in ("name", "n_shingles"))
+        take = take[ready]
+        mark = marks[ranges(offsets[:-1][ready], take)]
+        low = name.view(np.uint64) & LOW if last is None else size_codes(n)
+        key = mark >> MARK << MARK | np.repeat(low, take)
+        if last is None:
+            entry = key
+        else:
+            entry = np.empty(len(key), ENTRY)
+            entry["key"], entry["name"] = key, np.repeat(name, take)
+        bucket = (mark % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         entry, bucket = entry[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -156,29 +228,38 @@ def _heads(percent: int, buckets: int, last) -> Callable:
     return apply
 
 
-def _entries(bucket: pa.Table) -> np.ndarray:
-    """Distinct (shingle, n, name) of a bucket in this order; equal sets count once."""
-    entry = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in bucket.column("entries")])
-    entry = entry[np.lexsort((entry["name"], entry["n"], entry["shingle"]))]
-    return entry[np.concatenate([[True], (entry["shingle"][1:] != entry["shingle"][:-1]) | (entry["name"][1:] != entry["name"][:-1])])]
+def _unready(percent: int, last) -> Callable:
+    """Rows of the sets whose head in the second order reaches beyond what is stored."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            first, *_, ready = _marks(batch, last.value, percent)
+            yield batch.drop_columns(["shingles"]).take(pa.array(first[~ready]))
+
+    return apply
 
 
 def _frequent(bucket: pa.Table) -> pa.Table:
-    shingle, sets = np.unique(_entries(bucket)["shingle"], return_counts=True)
-    return pa.table({"shingle": pa.array(shingle[sets > RARE].view(np.int64)), "sets": pa.array(sets[sets > RARE].astype(np.int64))})
+    keys = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in bucket.column("entries")]))
+    mark, sets = np.unique(keys >> MARK, return_counts=True)
+    return pa.table({"mark": pa.array(mark[sets > RARE].view(np.int64)), "sets": pa.array(sets[sets > RARE].astype(np.int64))})
 
 
 def _chains(percent: int) -> Callable:
     def apply(bucket: pa.Table) -> pa.Table:
-        entry = _entries(bucket)
-        edges = np.flatnonzero(np.concatenate([[True], entry["shingle"][1:] != entry["shingle"][:-1], [True]]))
+        entry = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in bucket.column("entries")])
+        entry = entry[np.lexsort((entry["name"], entry["key"]))]
+        entry = entry[np.concatenate([[True], (entry["key"][1:] != entry["key"][:-1]) | (entry["name"][1:] != entry["name"][:-1])])]
+        mark, code, name = entry["key"] >> MARK, entry["key"] & LOW, entry["name"]
+        below, least = least_size(code + np.uint64(1)), least_size(code)
+        edges = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1], [True]]))
         group = np.repeat(np.diff(edges), np.diff(edges))
         found, rare = [np.empty((2, 0), np.int64)], [np.empty(0, bool)]
         for gap in range(1, RARE):
-            a, b, few = entry[:-gap], entry[gap:], group[:-gap] <= RARE
-            fit = (a["shingle"] == b["shingle"]) & (a["name"] != b["name"]) & (100 * a["n"].astype(np.int64) >= percent * b["n"].astype(np.int64))
+            a, b, few = slice(None, -gap), slice(gap, None), group[:-gap] <= RARE
+            fit = (mark[a] == mark[b]) & (name[a] != name[b]) & (100 * below[a] >= percent * least[b])
             fit &= few if gap > 1 else True
-            found.append(np.stack([np.minimum(a["name"][fit], b["name"][fit]), np.maximum(a["name"][fit], b["name"][fit])]))
+            found.append(np.stack([np.minimum(name[a][fit], name[b][fit]), np.maximum(name[a][fit], name[b][fit])]))
             rare.append(few[fit])
         pairs, rare = np.concatenate(found, axis=1), np.concatenate(rare)
         pairs, first = np.unique(np.concatenate([pairs, rare[None].astype(np.int64)]), axis=1, return_index=True)
@@ -343,7 +424,7 @@ def _visits(members: DataFrame, visitors: DataFrame, tiles: DataFrame) -> DataFr
 
 
 def _blocks(sets: DataFrame, chains: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """(block, tile, name, rows, shingles) of each candidate set once, (block, tiles), and the number of search tasks."""
+    """(doc_key, print, name, block, rows, tile) of each candidate set once, (block, tiles), and the number of search tasks."""
     edges = stored(chains.groupBy("u", "v").agg(F.min("rare").alias("rare")))
     about = lambda x: stands.select(F.col("name").alias(x), F.col("d.n").alias(f"n_{x}"), F.col("d.bits").alias(f"bits_{x}"))
     first = F.min(F.struct("doc_key", "print", F.col("n_shingles").alias("n"), "bits")).alias("d")
@@ -358,8 +439,7 @@ def _blocks(sets: DataFrame, chains: DataFrame, percent: int) -> tuple[DataFrame
     tiled = placed.join(weights.select("block", "tiles"), "block").select(
         "doc_key", "print", "name", "block", "rows", F.pmod(F.xxhash64("name"), F.col("tiles")).alias("tile")
     )
-    loaded = sets.select("doc_key", "print", "shingles").join(broadcast_if_small(stored(tiled)), ["doc_key", "print"])
-    return loaded.select("block", "tile", "name", "rows", "shingles"), weights.select("block", "tiles"), units
+    return stored(tiled), weights.select("block", "tiles"), units
 
 
 def _link_counts(loaded: DataFrame, tiles: DataFrame, units: int, percent: int) -> DataFrame:
@@ -369,25 +449,26 @@ def _link_counts(loaded: DataFrame, tiles: DataFrame, units: int, percent: int)
     return stored(found.groupBy("name").agg(F.sum("links").alias("links")))
 
 
-def _links(loaded: DataFrame, tiles: DataFrame, units: int, percent: int) -> DataFrame:
-    """(u, v): links among candidate sets, enough to connect all that links connect."""
-    loaded = loaded.drop("rows")
+def _links(load: Callable[[DataFrame], DataFrame], placed: DataFrame, tiles: DataFrame, units: int, percent: int) -> DataFrame:
+    """(u, v): links among candidate sets, enough to connect all that links connect. Only sets of divided blocks are stored."""
+    placed = placed.drop("rows")
     divided = stored(tiles.where("tiles > 1"))
+    found = _searched(load(placed).withColumn("own", F.lit(True)), units, percent)
     if divided.isEmpty():
-        return _searched(loaded.withColumn("own", F.lit(True)), units, percent)
-    found = _searched(loaded.withColumn("own", F.lit(True)), units, percent)
-    members = loaded.join(divided.select("block"), "block")
+        return found
+    members = stored(load(stored(placed.join(divided.select("block"), "block"))))
     state = lambda edges: stored(components(edges))
+    chosen = lambda names: members.join(broadcast_if_small(stored(names)), "name", "left_semi")
     named = members.join(state(found), F.col("name") == F.col("node"), "left").withColumn("c", F.coalesce("component", "name"))
     leading = named.groupBy("block", "tile", "c").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("low"), F.max("name").alias("high"))
     largest = leading.groupBy("block", "tile").agg(F.max(F.struct("size", "low", "high")).alias("top"))
     leaders = largest.select(F.explode(F.array_distinct(F.array("top.low", "top.high"))).alias("name"))
-    found = stored(found.union(_searched(_visits(members, members.join(leaders, "name", "left_semi"), divided), units, percent)))
+    found = stored(found.union(_searched(_visits(members, chosen(leaders), divided), units, percent)))
     named = stored(members.select("block", "name").distinct().join(state(found), F.col("name") == F.col("node"), "left").select("block", "name", F.coalesce("component", "name").alias("c")))
     sizes = named.groupBy("block", "c").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("block").agg(F.max(F.struct("size", "c")).alias("top")).select("block", F.col("top.c").alias("c"))
     outside = named.join(main, ["block", "c"], "left_anti").select("name")
-    last = _searched(_visits(members, members.join(outside, "name", "left_semi"), divided), units, percent)
+    last = _searched(_visits(members, chosen(outside), divided), units, percent)
     return stored(found.union(last))
 
 
@@ -402,7 +483,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     With ``count`` also n_links, the number of other rows it links with: then every candidate set is looked up, which for a
     large group of near copies is work in the square of its distinct sets, spread over its tiles. Components need less.
 
-    Sets, blocks and rounds of components are working tables: only the rows of the result stay stored.
+    Parts of sets, blocks and rounds of components are working tables: only the rows of the result stay stored. ``docs`` is
+    read up to five times, so store what is costly to compute.
     """
     with scratch(docs.sparkSession) as keep:
         return keep(_linked(docs, width, percent, count))
@@ -412,21 +494,25 @@ def _linked(docs: DataFrame, width: int, percent: int, count: bool) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(*document_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
-    made = keyed.mapInArrow(_sizes(width), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary")
+    made = keyed.mapInArrow(_sizes(width, percent), "doc_key long, print long, n_shingles long, name long, bits binary, shingles binary")
     sets = stored(made, **{"parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.enable.dictionary": "false"})
     chars = keyed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
-    share = spark.sparkContext.broadcast
-    heads = lambda last: sets.where("n_shingles > 0").select("name", "n_shingles", "shingles").mapInArrow(
-        _heads(percent, buckets, share(last)), "bucket long, entries binary"
-    ).groupBy("bucket")
-    frequent = heads(np.empty(0, np.uint64)).applyInArrow(_frequent, "shingle long, sets long")
-    last = frequent.orderBy(F.desc("sets"), "shingle").limit(DEMOTED).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    chains = heads(np.sort(last.view(np.uint64))).applyInArrow(_chains(percent), "u long, v long, rare boolean")
-    loaded, tiles, units = _blocks(sets, chains, percent)
-    loaded = stored(loaded)
-    reached = components(_links(loaded, tiles, units, percent))
-    links = _link_counts(loaded, tiles, units, percent) if count else None
+    load = lambda rows: _loaded(keyed, rows, width)
+    leads = sets.where("n_shingles > 0").select("name", "n_shingles", "shingles")
+    heads = lambda some, last=None: some.mapInArrow(_heads(percent, buckets, last), "bucket long, entries binary").groupBy("bucket")
+    frequent = heads(leads).applyInArrow(_frequent, "mark long, sets long")
+    late = frequent.orderBy(F.desc("sets"), "mark").limit(DEMOTED).select("mark").toPandas()["mark"].to_numpy(np.int64)
+    last = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
+    if len(late):
+        deep = sets.where("n_shingles > 0").select("name", "n_shingles", "doc_key", "print", "shingles")
+        deep = deep.mapInArrow(_unready(percent, last), "name long, n_shingles long, doc_key long, print long")
+        one = F.min(F.struct("doc_key", "print", "n_shingles")).alias("d")
+        leads = leads.union(load(stored(deep.groupBy("name").agg(one).select("name", "d.n_shingles", "d.doc_key", "d.print"))))
+    chains = heads(leads, last).applyInArrow(_chains(percent), "u long, v long, rare boolean")
+    placed, tiles, units = _blocks(sets, chains, percent)
+    reached = components(_links(load, placed, tiles, units, percent))
+    links = _link_counts(stored(load(placed)), tiles, units, percent) if count else None
     some = sets.where("n_shingles > 0")
     first = F.min(F.struct((F.col("doc_key") == NO_ID).alias("unnamed"), "doc_key", "print")).alias("first")
     named = stored(
