@@ -11,8 +11,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from pairpref.sources import files
-from pairpref.sources.relational import save_tables
+from pairpref import session
+from pairpref.catalog import storage
+from pairpref.catalog.tables import cleaned, cleaned_texts
+from pairpref.sources import files, relational
+from pairpref.sources.relational import TASK_BYTES, dealt_out, save_tables
 
 
 def folder(content):
@@ -70,3 +73,47 @@ def test_saved_tables_join_without_a_shuffle(spark):
     assert joined.count() == 17
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_saved_text_costs_little_when_it_comes_back(spark):
+    noise = F.concat(*[F.sha2(F.concat_ws("-", F.col("id") % 500, F.lit(i)), 512) for i in range(47)])
+    battles = spark.range(0, 10_000, 1, 1).select(
+        F.lit("m").alias("model_a"), F.current_date().alias("battle_date"), F.lit(None).cast("string").alias("other"), noise.alias("response_a_text"))
+    prefix, place = f"t_{uuid.uuid4().hex}_", tempfile.mkdtemp(prefix="pairpref-saved-")
+    save_tables({"arena_battle": battles}, prefix=prefix, buckets=2, folder=place)
+    size = sum(os.path.getsize(f"{place}/arena_battle/{name}") for name in os.listdir(f"{place}/arena_battle"))
+    assert size < 2 * 500 * 6016  # the different texts are 3 MB, all of them 60 MB
+    saved = spark.table(f"{prefix}arena_battle")
+    assert saved.exceptAll(battles).isEmpty() and saved.count() == 10_000
+
+
+def test_narrow_battles_are_dealt_out_by_the_size_of_whole_ones(spark):
+    model = F.when(F.col("id") < 16_000, "hot").when(F.col("id") % 7 != 0, (F.col("id") % 7).cast("string"))
+    battles = spark.range(0, 20_000, 1, 2).select(F.col("id").alias("source_row_index"), model.alias("model_a"), F.lit(None).cast("date").alias("battle_date"))
+    dealt = dealt_out(battles, "arena_battle", 8, 12 * TASK_BYTES - 5, "source_row_index")
+    rows = dealt.withColumns({"task": F.spark_partition_id(), "bucket": F.pmod(F.hash("model_a"), F.lit(8))}).collect()
+    tasks = [r.task for r in rows]
+    assert len(rows) == 20_000 and len(set(tasks)) == 12 == dealt.rdd.getNumPartitions()
+    assert max(tasks.count(t) for t in set(tasks)) < 2 * 20_000 / 12
+    assert len({(r.task, r.bucket) for r in rows}) <= 12 + 8
+
+
+@pytest.mark.parametrize("limit", [session.BROADCAST_BYTES, 0])
+def test_saved_battles_are_whole(spark, sf, monkeypatch, limit):
+    """Every battle with its texts, in its bucket in order, whether texts are broadcast or not; small tasks where they are."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(relational, "TASK_BYTES", 50_000)
+    place = tempfile.mkdtemp(prefix="pairpref-saved-")
+    monkeypatch.setattr(storage, "scratch", lambda spark: place)
+    counts = {r.model_name: r.as_model_a for r in storage.saved_tables(spark, sf).collect()}
+    expected = {r.model_a: r["count"] for r in cleaned(spark, sf).groupBy("model_a").count().collect()}
+    assert counts and counts == {name: expected.get(name, 0) for name in counts}
+    saved = spark.read.parquet(f"{place}/arena_battle")
+    battles = storage._tables(spark, sf)["arena_battle"]
+    assert saved.columns == battles.columns and saved.count() == cleaned_texts(spark, sf).count()
+    assert saved.exceptAll(battles).isEmpty() and battles.exceptAll(saved).isEmpty()
+    files = {}
+    for r in saved.select(F.input_file_name().alias("f"), "model_a", F.col("battle_date").cast("string").alias("d"), F.pmod(F.hash("model_a"), F.lit(8)).alias("b")).collect():
+        files.setdefault(r.f, []).append((r.b, r.model_a or "", r.d or ""))
+    assert all(rows == sorted(rows) and len({b for b, _, _ in rows}) == 1 for rows in files.values())
+    assert limit == 0 or len(files) > 8
